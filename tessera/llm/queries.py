@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, html_text, mixing, secrets, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": mixing.op2_mixing,
+        "op3_html_extraction": html_text.op3_html_extraction,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_sharding": sharding.op6_sharding,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op9_secrets": secrets.op9_secrets,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_sharding": sharding.op6_sql()}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_sharding": sharding.op6_sql(), "op9_secrets": secrets.op9_sql()}
