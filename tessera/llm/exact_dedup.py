@@ -46,9 +46,12 @@ class StreamingDedup:
         return source.select(F.col(self.id).alias("id"), text.alias("norm"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")).withColumn("digest", self.digest(F.col("norm")))
 
     def advance(self) -> None:
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key, None)
-        conf.set(key, ROCKSDB)
+        conf = self.spark.conf
+        # without preallocated logs: with many partitions these would be larger than the state
+        wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+        before = {k: conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
         try:
             schema = self.spark.read.parquet(self.path).schema
             path = self.path.rstrip("/")
@@ -58,7 +61,8 @@ class StreamingDedup:
             query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.location).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            conf.unset(key) if before is None else conf.set(key, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def state(self) -> DataFrame:
         """One row a digest: digest, n, keep (id, locator)."""
