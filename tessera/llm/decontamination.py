@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import IS_SPACE, LOWER_BYTES, bytes_of, pieces, small_batches
 
@@ -196,30 +197,28 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
     return out
 
 
-def _searcher(sent, last: bool) -> Callable:
+HITS = "__hits"
+_HIT = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())]))
+
+
+def _searcher(sent, text_col: str, drop_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            data, starts = bytes_of(batch.column(batch.schema.get_field_index("text_")))
+            data, starts = bytes_of(batch.column(batch.schema.get_field_index(text_col)))
             hits = []
             for i, j in pieces(starts, PIECE):
                 hits += search(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], index)
-            before = batch.column(batch.schema.get_field_index("hits_")).to_pylist()
+            before = batch.column(batch.num_columns - 1).to_pylist()
             now = [sorted([*(b or []), *({"item": index.ids[k], "distance": d} for k, d in h.items())], key=lambda x: (x["item"], x["distance"])) for b, h in zip(before, hits, strict=True)]
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text_", "hits_")]
-            names = [n for n in batch.schema.names if n not in ("text_", "hits_")]
-            if not last:
-                columns, names = [*columns, batch.column(batch.schema.get_field_index("text_"))], [*names, "text_"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(now, pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64())])))], names=[*names, "hits_"])
+            kept = [k for k, n in enumerate(batch.schema.names[:-1]) if not (drop_text and n == text_col)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(now, _HIT)], names=[*(batch.schema.names[k] for k in kept), HITS])
 
     return run
 
 
-HITS = "array<struct<item:bigint,distance:bigint>>"
-
-
 def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``hits_`` added: the items that the whole text holds, with their edit distances, by item.
+    """The columns ``keep`` of ``docs`` with ``__hits`` added: the items that the whole text holds, with their edit distances, by item.
 
     Null and empty texts hold nothing; null or blank items are held by none; items that repeat are all told. Rows are
     independent and nothing is shuffled. The items are a query set: the driver reads them in blocks of ``block``, each of
@@ -227,20 +226,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     """
     spark = docs.sparkSession
     small_batches(spark)
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("text_"), F.array().cast(HITS).alias("hits_"))
+    columns = [*keep, *([] if text_col in keep else [text_col])]
+    df = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.array().cast("array<struct<item:bigint,distance:bigint>>").alias(HITS))
     items, blocks = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator(), []
     while part := [(r.i, r.t) for _, r in zip(range(block), items, strict=False)]:
         blocks.append(build_index(part))
-    if not blocks:
-        return df.drop("text_")
-    kept, text, hits = df.select(*[f"`{c}`" for c in keep]).schema, df.schema["text_"], df.schema["hits_"]
     for n, index in enumerate(blocks):
-        last = n == len(blocks) - 1
-        schema = type(kept)([*kept.fields, *([] if last else [text]), hits])
-        df = df.mapInArrow(_searcher(spark.sparkContext.broadcast(index), last), schema)
-    return df
+        drop = n == len(blocks) - 1 and text_col not in keep
+        schema = StructType([f for f in df.schema.fields if not (drop and f.name == text_col)])
+        df = df.mapInArrow(_searcher(spark.sparkContext.broadcast(index), text_col, drop), schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], HITS)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", (F.size("hits_") > 0).alias("contaminated"), F.size("hits_").cast("long").alias("n_items"), F.col("hits_.item").alias("item_ids"), F.array_min("hits_.distance").alias("least_edits"))
+    return out.select("doc_id", (F.size("__hits") > 0).alias("contaminated"), F.size("__hits").cast("long").alias("n_items"), F.col("__hits.item").alias("item_ids"), F.array_min("__hits.distance").alias("least_edits"))

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import bytes_of, cut, pieces, small_batches, word_bounds
@@ -25,6 +26,8 @@ MOST = 3
 SEED = 20260723
 #: The remaining budget, in words, that dynamic programming meets; its memory is this many bits a length at most.
 DP_WORDS = 1 << 17
+#: Rows of a plan that may be broadcast, at some 80 bytes each; a larger plan is joined by shuffle.
+BROADCAST_PLAN = 300_000
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +36,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts = bytes_of(batch.column(batch.num_columns - 1))
         counts = [word_bounds(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])[2] for i, j in pieces(starts, 4 << 20)]
         size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64())], names=[*batch.schema.names[:-1], "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64())], names=batch.schema.names)
 
 
 def source_key(source: Column) -> Column:
@@ -106,38 +109,73 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("size", ignore_index=True)
+    group = group.sort_values("__size", ignore_index=True)
     size, target = int(group.source_size[0]), float(group.target[0])
     whole = min(MOST, int(target // size)) if size else 1
     rest = round(target - whole * size) if whole < MOST else 0
-    return group.assign(whole=whole, extra=fit_budget(group["size"].to_numpy(), group.n.to_numpy(), rest))
+    return group.assign(whole=whole, extra=fit_budget(group["__size"].to_numpy(), group["__n"].to_numpy(), rest))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """One row a document: id, source key (``skey``), size, source_size, target, copies.
+def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
+    """The columns ``keep`` with id, skey (the source), h (a seeded hash of id and text) and size (words) added."""
+    small_batches(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    h = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.coalesce(text, F.lit("")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("__id"), source_key(F.col(f"`{source_col}`")).alias("__skey"), h.alias("__h"), text.alias("__size"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("__size", LongType())])
+    return rows.mapInArrow(count_words, schema)
+
 
-    Null or empty texts have size 0; they are taken as often as their whole source is. Rows that repeat an id
-    are documents of their own. An empty table gives no rows. The driver holds one number a source; the histogram
-    of a source, which has a row for each distinct length, is one task's.
+def plan_mix(sizes: DataFrame) -> DataFrame:
+    """One row a source and length, by the columns of ``sized``: how often all are taken (``whole``), and up to which split and hash once more.
+
+    The driver holds one number a source; the histogram of a source, which has a row for each distinct length, is one
+    task's. Rows of one length are split by hash into about the root of their number, so that no group is ranked as a whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    narrow = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("skey"), F.col(text_col).cast("string").alias("text"))
-    sizes = cut(narrow.mapInArrow(count_words, narrow.select("id").schema.add("skey", "string").add("size", "long")), "mix-sizes")
-    hist = cut(sizes.groupBy("skey", "size").agg(F.count("*").alias("n")), "mix-lengths")
-    totals = {r.skey: int(r.words) for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
+    spark = sizes.sparkSession
+    hist = cut(sizes.groupBy("__skey", "__size").agg(F.count("*").alias("__n")), "mix-lengths")
+    totals = {r[0]: int(r[1]) for r in hist.groupBy("__skey").agg(F.sum(F.col("__size") * F.col("__n"))).collect()}
     targets = share_targets(totals)
-    frame = spark.createDataFrame([(k, totals[k], t) for k, t in targets.items()], "skey string, source_size long, target double")
-    plan = hist.join(F.broadcast(frame), "skey").groupBy("skey").applyInPandas(_fit, "skey string, size long, n long, source_size long, target double, whole long, extra long")
-    # a large group of one length is split by hash into about the root of its size; only the split at the boundary is ranked by row
-    split = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.ceil(F.sqrt("n")))
-    rows = cut(sizes.join(plan, ["skey", "size"]).withColumn("split", split), "mix-rows")
-    key = ["skey", "size", "split"]
-    counted = rows.groupBy(*key).agg(F.count("*").alias("here"))
-    counted = counted.withColumn("before", F.sum("here").over(Window.partitionBy("skey", "size").orderBy("split")) - F.col("here")).drop("here")
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id"))
-    chosen = rows.join(counted, key).withColumn("one", (F.col("before") + rank <= F.col("extra")).cast("long"))
-    return chosen.select("id", "skey", "size", "source_size", "target", (F.col("whole") + F.col("one")).alias("copies"))
+    frame = spark.createDataFrame([(k, totals[k], t) for k, t in targets.items()], "__skey string, source_size long, target double")
+    plan = cut(hist.join(F.broadcast(frame), "__skey").groupBy("__skey").applyInPandas(_fit, "__skey string, __size long, __n long, source_size long, target double, whole long, extra long"), "mix-plan")
+    group = ["__skey", "__size"]
+    rows = sizes.select(*group, "__h").join(plan.filter("extra > 0").select(*group, "__n", "extra"), group).withColumn("split", _split())
+    counted = rows.groupBy(*group, "split").agg(F.count("*").alias("here"), F.first("extra").alias("extra"))
+    counted = counted.withColumn("upto", F.sum("here").over(Window.partitionBy(*group).orderBy("split")))
+    edge = counted.filter("upto >= extra AND upto - here < extra").select(*group, "split", (F.col("extra") - F.col("upto") + F.col("here")).alias("need"))
+    ranked = rows.join(edge, [*group, "split"]).withColumn("rank", F.row_number().over(Window.partitionBy(*group, "split").orderBy("__h")))
+    edge = ranked.filter("rank = need").select(*group, F.col("split").alias("last_split"), F.col("__h").alias("last_h"))
+    return cut(plan.join(edge, group, "left"), "mix-bounds")
+
+
+def _split() -> Column:
+    return F.pmod(F.shiftright("__h", 20), F.ceil(F.sqrt("__n")))
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (as of ``sized``) with source_size, target and copies added. The plan, whose size depends on the number of sources and lengths alone, is broadcast if it is small."""
+    small = plan.count() <= BROADCAST_PLAN
+    joined = rows.join(F.broadcast(plan) if small else plan, ["__skey", "__size"])
+    one = (_split() < F.col("last_split")) | ((_split() == F.col("last_split")) & (F.col("__h") <= F.col("last_h")))
+    return joined.withColumn("copies", F.col("whole") + F.coalesce(one.cast("long"), F.lit(0)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """One row a document: id, skey, size, source_size, target, copies.
+
+    Null or empty texts have size 0; they are taken as often as their whole source is. Rows that repeat an id are
+    documents of their own; those that repeat id and text are taken alike. An empty table gives no rows.
+    """
+    sizes = cut(sized(docs, id_col, source_col, text_col, seed=seed), "mix-sizes")
+    out = apply_mix(sizes, plan_mix(sizes))
+    return out.select(F.col("__id").alias("id"), F.col("__skey").alias("skey"), F.col("__size").alias("size"), "source_size", "target", "copies")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them. The texts are not shuffled."""
+    sizes = cut(sized(docs, id_col, source_col, text_col, seed=seed), "mix-sizes")
+    taken = apply_mix(sized(docs, id_col, source_col, text_col, tuple(docs.columns), seed), plan_mix(sizes)).filter("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, ngram_join, secrets, sharding, toxicity, url_filter
+import corpus_pipeline
+
+from . import decontamination, exact_dedup, html_text, mixing, ngram_join, secrets, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +17,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_html_extraction": html_text.op3_html_extraction,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
