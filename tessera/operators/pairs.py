@@ -104,11 +104,15 @@ def bind_within(observed: DataFrame, frozen: DataFrame, tolerance: float, keys:
     return left.select(*keys, "oid").join(found, [*keys, "oid"], "left").select(*keys, "oid", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("fid")).alias("fid"))
 
 
-def support_closure(edges: DataFrame, most: int = 96) -> DataFrame:
-    """All (scene_id, child, ancestor) of the support edges (scene_id, child, parent), by doubling paths; cycles reach themselves."""
-    paths = edges.select("scene_id", F.col("child"), F.col("parent").alias("ancestor")).distinct()
-    steps = max(1, (most - 1).bit_length())
-    for _ in range(steps):
-        longer = paths.alias("a").join(paths.alias("b"), (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.ancestor") == F.col("b.child"))).select("a.scene_id", "a.child", "b.ancestor")
-        paths = paths.unionByName(longer).distinct()
-    return paths
+def support_closure(edges: DataFrame) -> DataFrame:
+    """All (scene_id, child, ancestor) of the edges (scene_id, child, parent); members of a cycle reach themselves.
+
+    A scene's edges are few (an object has few parents), so they are gathered and followed in one place, as often as
+    there are edges at most.
+    """
+    parents = edges.groupBy("scene_id", "child").agg(F.collect_set("parent").alias("parents"))
+    scenes = parents.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct("child", "parents"))).alias("up"))
+    d = scenes.select("scene_id", "up", F.explode("up").alias("child", "parents"))
+    none = F.array().cast(parents.schema["parents"].dataType)
+    follow = lambda found, _: F.array_union(found, F.flatten(F.transform(found, lambda x: F.coalesce(F.col("up")[x], none))))
+    return d.select("scene_id", "child", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("up")), F.col("parents"), follow)).alias("ancestor"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scenes
+from . import publish, roster, scenes
 
-MODULES = (scenes,)
+MODULES = (scenes, roster, publish)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,7 +94,7 @@ def polygon_gap(spark: SparkSession, sf: str) -> DataFrame:
     d = P.unordered_pairs(scene_objects(spark, sf), GEOMETRY)
     a, b = (G.footprint(P.c(p, "x"), P.c(p, "y"), P.c(p, "ex"), P.c(p, "ey")) for p in ("s", "r"))
     d = d.select("scene_id", "s_object_id", "r_object_id", G.gap(a, b).alias("gap"), G.overlap_area(a, b).alias("area"))
-    return d.groupBy("scene_id").agg(F.round(F.sum("gap"), 3).alias("gap"), F.round(F.sum("area"), 3).alias("area"), F.count("*").alias("pairs"))
+    return d.groupBy("scene_id").agg(F.round(F.sum("gap"), 6).alias("gap"), F.round(F.sum("area"), 6).alias("area"), F.count("*").alias("pairs"))
 
 
 def obb_collisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,7 @@ QUERIES = {
     "converse_check": (converse_check, f"WITH {S.PAIRS} SELECT count(*) AS pairs, count(*) FILTER (WHERE b.labels = list_sort(list_transform(a.labels, lambda v: {S.lookup(R.CONVERSE, 'v')}))) AS consistent FROM labelled a JOIN labelled b ON a.scene_id = b.scene_id AND a.s_id = b.r_id AND a.r_id = b.s_id"),
     "axis_labels": (axis_labels, "WITH " + S.PAIRS + " " + " UNION ALL ".join(f"SELECT '{a}' AS axis, array_to_string({S.on_axis('labels', a)}, ',') AS labels, count(*) AS n FROM labelled GROUP BY ALL" for a in R.AXES)),
     "ground_gap_histogram": (ground_gap_histogram, f"WITH {S.PAIRS} SELECT CAST(floor(round(gap, 6) * 2) AS BIGINT) AS half_metres, count(*) AS n, round(max(gap), 6) AS most FROM pairs WHERE s_id < r_id GROUP BY ALL"),
-    "polygon_gap": (polygon_gap, f"""WITH {S.PAIRS} SELECT scene_id, round(sum(gap), 3) AS gap, round(sum(greatest(least(sx + sex / 2, rx + rex / 2) - greatest(sx - sex / 2, rx - rex / 2), 0::DOUBLE) * greatest(least(sy + sey / 2, ry + rey / 2) - greatest(sy - sey / 2, ry - rey / 2), 0::DOUBLE)), 3) AS area, count(*) AS pairs FROM pairs WHERE s_id < r_id GROUP BY scene_id"""),
+    "polygon_gap": (polygon_gap, f"""WITH {S.PAIRS} SELECT scene_id, round(sum(gap), 6) AS gap, round(sum(greatest(least(sx + sex / 2, rx + rex / 2) - greatest(sx - sex / 2, rx - rex / 2), 0::DOUBLE) * greatest(least(sy + sey / 2, ry + rey / 2) - greatest(sy - sey / 2, ry - rey / 2), 0::DOUBLE)), 6) AS area, count(*) AS pairs FROM pairs WHERE s_id < r_id GROUP BY scene_id"""),
     "obb_collisions": (obb_collisions, f"""WITH {S.PAIRS}, t AS (SELECT *, greatest(least(sx + sex / 2, rx + rex / 2) - greatest(sx - sex / 2, rx - rex / 2), 0::DOUBLE) * greatest(least(sy + sey / 2, ry + rey / 2) - greatest(sy - sey / 2, ry - rey / 2), 0::DOUBLE) AS area, least(sz + sez / 2, rz + rez / 2) - greatest(sz - sez / 2, rz - rez / 2) AS dz FROM pairs WHERE s_id < r_id) SELECT scene_id, s_id AS a_id, r_id AS b_id, round(area, 6) AS area, round(dz, 6) AS depth FROM t WHERE area > 1e-9 AND dz > 1e-9"""),
     "z_overlap": (z_overlap, f"WITH {S.PAIRS}, t AS (SELECT scene_id, least(sz + sez / 2, rz + rez / 2) - greatest(sz - sez / 2, rz - rez / 2) AS dz FROM pairs WHERE s_id < r_id) SELECT scene_id, count(*) FILTER (WHERE dz > 1e-9) AS overlapping, round(max(dz), 6) AS most FROM t GROUP BY scene_id"),
     "inside_room": (inside_room, f"""WITH {OBJECTS}, t AS (SELECT category, x - ex / 2 >= -1 - 1e-6 AND x + ex / 2 <= 9 + 1e-6 AND y - ey / 2 >= -1 - 1e-6 AND y + ey / 2 <= 9 + 1e-6 AS a, x - ex / 2 >= -1e-6 AND x + ex / 2 <= 6 + 1e-6 AND y - ey / 2 >= -1e-6 AND y + ey / 2 <= 6 + 1e-6 AS b, x BETWEEN 0 AND 6 AND y BETWEEN 0 AND 6 AS c FROM objects) SELECT category, count(*) FILTER (WHERE a) AS in_room, count(*) FILTER (WHERE b) AS in_part, count(*) FILTER (WHERE c) AS centre_in_part, count(*) AS n FROM t GROUP BY category"""),
