@@ -9,6 +9,12 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _doubles(*names: str) -> T.StructType:
+    """Types are given as objects, as a worker that imports this module has no session to parse them."""
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
 def digest(domain: str, *parts: Column) -> Column:
@@ -41,7 +47,7 @@ def canonical_json_text(value: object, ascii_only: bool = False) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Canonical spelling of JSON texts; null where a text is none. Numbers keep the spelling of the language that made the digests."""
 
@@ -131,7 +137,7 @@ def sine_cosine_bounds(degrees: float, terms: int = 24) -> tuple[tuple[Fraction,
     return [(sine, cosine), (cosine, minus(sine)), (minus(sine), minus(cosine)), (minus(cosine), sine)][int(quarter)]
 
 
-@F.pandas_udf("struct<sin_lo:double,sin_hi:double,cos_lo:double,cos_hi:double>")
+@F.pandas_udf(_doubles("sin_lo", "sin_hi", "cos_lo", "cos_hi"))
 def directed_turn(degrees: pd.Series) -> pd.DataFrame:
     """Doubles that surely enclose sine and cosine of an angle in degrees; null angles give nulls."""
     rows = []
@@ -144,7 +150,7 @@ def directed_turn(degrees: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["sin_lo", "sin_hi", "cos_lo", "cos_hi"])
 
 
-@F.pandas_udf("struct<lo:double,hi:double>")
+@F.pandas_udf(_doubles("lo", "hi"))
 def directed_sum(values: pd.Series) -> pd.DataFrame:
     """Doubles that surely enclose the exact sum of an array of doubles."""
     rows = []
