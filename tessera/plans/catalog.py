@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import publish, roster, scenes
+from . import domains, publish, roster, scenes
 
-MODULES = (scenes, roster, publish)
+MODULES = (scenes, roster, publish, domains)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
