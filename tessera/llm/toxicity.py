@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER_BYTES, bytes_of, pieces, small_batches
 
 #: Labelled documents that the model is fitted on at most, in order of a hash of their id.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 4000
 #: N-gram lengths in bytes, rows of the table as a power of two, numbers a row.
 GRAMS, BITS, WIDTH = (3, 4, 5, 6), 18, 8
 EPOCHS, RATE, SEED = 7, 0.3, 7
 #: Zero vectors that count in every average, so that a text of a few words is not judged by one n-gram; documents that an n-gram must be in; a common factor of all averages.
 PADDING, LEAST_DOCS, SCALE = 300, 4, 100.0
 #: Bytes that are hashed at a time.
-PIECE = 2 << 20
+PIECE, TRAIN_PIECE = 2 << 20, 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,18 +56,31 @@ def grams(clean: np.ndarray, begin: int, end: int) -> Iterator[tuple[np.ndarray,
         yield at, (((part + np.uint64(k)) * _ODD) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _bags(clean: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each row's distinct table rows and how often it has them."""
-    out, mask = [], (1 << BITS) - 1
-    for i, j in pieces(starts, PIECE):
+def _bags(clean: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' distinct known table rows one after the other, their shares of the row's average, where each row's begin, and which are known."""
+    found_all, many_all, sizes, mask = [], [], [], (1 << BITS) - 1
+    for i, j in pieces(starts, TRAIN_PIECE):
         keys = []
         for p in range(int(starts[i]), int(starts[j]), PIECE):
             for at, rows in grams(clean, p, min(int(starts[j]), p + PIECE)):
                 keys.append((np.searchsorted(starts[i : j + 1], at + p, side="right") - 1) << BITS | rows)
         found, many = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        edge = np.searchsorted(found >> BITS, np.arange(j - i + 1))
-        out += [((found[a:b] & mask).astype(np.int32), many[a:b].astype(np.float32)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return out
+        sizes.append(np.bincount(found >> BITS, minlength=j - i))
+        found_all.append((found & mask).astype(np.int32))
+        many_all.append(many.astype(np.float32))
+    total = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), m, len(n)) for n, m in zip(sizes, many_all, strict=True)]) if sizes else np.zeros(0)
+    docs_with = np.zeros(1 << BITS, np.int64)
+    for found in found_all:
+        docs_with += np.bincount(found, minlength=1 << BITS)
+    known, row = docs_with >= LEAST_DOCS, 0
+    for k, (found, many, n) in enumerate(zip(found_all, many_all, sizes, strict=True)):
+        keep, factor = known[found], (SCALE / (PADDING + total[row : row + len(n)])).astype(np.float32)
+        row += len(n)
+        owner = np.repeat(np.arange(len(n)), n)[keep]
+        found_all[k], many_all[k], sizes[k] = found[keep], many[keep] * factor[owner], np.bincount(owner, minlength=len(n))
+    begin = np.concatenate([[0], *map(np.cumsum, [np.concatenate(sizes)])]) if sizes else np.zeros(1, np.int64)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(found_all, np.int32), join(many_all, np.float32), begin, known
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -78,13 +91,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float =
     y = np.array(toxic, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if len(y) and y[0] else -4.0)
-    bags = _bags(*_clean(*bytes_of(pa.array(texts, pa.string()))))
-    docs_with = sum((np.bincount(rows, minlength=1 << BITS) for rows, _ in bags), np.zeros(1 << BITS, np.int64))
-    known = docs_with >= LEAST_DOCS
-    shares = []
-    for rows, many in bags:
-        keep = known[rows]
-        shares.append((rows[keep], (SCALE * many[keep] / (PADDING + many.sum())).astype(np.float32)))
+    found, share, begin, known = _bags(*_clean(*bytes_of(pa.array(texts, pa.string()))))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     vectors[~known] = 0
@@ -92,8 +99,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float =
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(y)):
-            rows, share = shares[i]
-            mean = share @ vectors[rows]
+            rows, x = found[begin[i] : begin[i + 1]], share[begin[i] : begin[i + 1]]
+            mean = x @ vectors[rows]
             z = mean @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -101,7 +108,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float =
             back = out @ p
             out -= 0.02 * step * np.outer(mean, p)
             bias -= 0.1 * step * p
-            vectors[rows] -= (step * share)[:, None] * back
+            vectors[rows] -= (step * x)[:, None] * back
     vectors[~known] = 0
     return Model((SCALE * (vectors @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
 
