@@ -16,6 +16,8 @@ from tessera.functions import relations as R
 from .pairs import c, collides, ground_gap, inside_rectangle, side, z_overlap
 
 WEIGHTS = {"translation": 1.0, "damage": 5.0, "visibility": 2.0, "safety": 1.0}
+#: The reference's steps of the grid and of its two refinements, in metres.
+STEPS = (0.1, 0.05, 0.01)
 STRUCT = ("object_id", "x", "y", "z", "ex", "ey", "ez", "cx", "depth", "xmin", "xmax", "ymin", "ymax", "visible_fraction", "image_area_fraction", "truncated_fraction", "support_id")
 
 
@@ -153,7 +155,7 @@ def score(verified: DataFrame, room: tuple[float, float, float, float], weights:
 
 def grid_moves(requests: DataFrame, room: tuple[float, float, float, float], step: float) -> DataFrame:
     """Every request at every grid point of the room; points are multiples of ``step``."""
-    axis = lambda lo, hi: F.transform(F.sequence(F.ceil(F.lit(lo) / step), F.floor(F.lit(hi) / step)), lambda i: i * F.lit(float(step)))
+    axis = lambda lo, hi: F.transform(F.sequence(F.ceil(F.lit(lo) / step), F.floor(F.lit(hi) / step)), lambda i: F.round(i * F.lit(float(step)), 9))
     return requests.withColumn("new_x", F.explode(axis(room[0], room[2]))).withColumn("new_y", F.explode(axis(room[1], room[3])))
 
 
@@ -161,7 +163,14 @@ def refine_moves(best: DataFrame, step: float) -> DataFrame:
     """The 3 x 3 points around the best of each request."""
     around = F.array(*[F.lit(k * step) for k in (-1.0, 0.0, 1.0)])
     names = ("request_id", "scene_id", "subject_id", "reference_id", "relation_before", "relation_after")
-    return best.select(*names, F.col("new_x").alias("x0"), F.col("new_y").alias("y0")).withColumn("new_x", F.explode(F.transform(around, lambda k: F.col("x0") + k))).withColumn("new_y", F.explode(F.transform(around, lambda k: F.col("y0") + k))).drop("x0", "y0")
+    return best.select(*names, F.col("new_x").alias("x0"), F.col("new_y").alias("y0")).withColumn("new_x", F.explode(F.transform(around, lambda k: F.round(F.col("x0") + k, 9)))).withColumn("new_y", F.explode(F.transform(around, lambda k: F.round(F.col("y0") + k, 9)))).drop("x0", "y0")
+
+
+def promising(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float, float]) -> DataFrame:
+    """The moves that ``verify`` may find successful: in the room, and seen with the relation flipped. One pair a move tells, not all of its scene."""
+    d = move_pairs(objects, moves).filter(F.col("r_object_id") == F.col("reference_id"))
+    flipped = F.array_contains(F.col("fa"), F.col("relation_after")) & ~F.array_contains(F.col("fa"), F.col("relation_before"))
+    return d.filter(inside_rectangle("m", room) & F.col("seen_b") & F.col("seen_a") & flipped).select(*moves.columns)
 
 
 def best_candidates(scored: DataFrame, least: tuple[str, ...]) -> DataFrame:
@@ -175,10 +184,13 @@ def best_candidates(scored: DataFrame, least: tuple[str, ...]) -> DataFrame:
 def solve(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float], strict: bool = True, steps: tuple[float, ...] = (2.0,), weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """The best move of each request on a grid of the first step, refined by 3 x 3 points at each further one. Strict: the shortest without any other change; otherwise the cheapest."""
     least = ("translation", "total", "new_x", "new_y") if strict else ("total", "translation", "new_x", "new_y")
-    moves, best = grid_moves(requests, room, steps[0]), None
+    # a file of a few requests would be one task, whatever the number of points
+    moves, best = grid_moves(requests.repartition("request_id"), room, steps[0]), None
     for k, step in enumerate(steps):
         if k:
             moves = refine_moves(best, step)
-        found = best_candidates(score(verify(objects, moves, room, strict), room, weights), least)
+        found = best_candidates(score(verify(objects, promising(objects, moves, room), room, strict), room, weights), least)
         best = found if best is None else best_candidates(best.unionByName(found), least)
+        if step != steps[-1]:
+            best = best.persist()  # a row a request, which the next step reads twice
     return best

@@ -32,7 +32,7 @@ def stage(spark: SparkSession, path: str, build, key: str) -> DataFrame:
     return spark.read.parquet(f"{path}/key={key}")
 
 
-def plan(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float] = ROOM, steps: tuple[float, ...] = (1.0, 0.5)) -> DataFrame:
+def plan(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float] = ROOM, steps: tuple[float, ...] = M.STEPS) -> DataFrame:
     """A row a request: the cheapest allowed move, or the stage and reason of its rejection."""
     best = M.solve(objects, requests, room, strict=False, steps=steps)
     d = requests.join(best.select("request_id", "new_x", "new_y", "total"), "request_id", "left")

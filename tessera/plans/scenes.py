@@ -199,9 +199,9 @@ def objective_terms(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("request_id", *[F.round(c, 5).alias(c) for c in ("translation", "damage", "visibility", "safety", "total")])
 
 
-def _best(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
+def _best(spark: SparkSession, sf: str, strict: bool, steps: tuple[float, ...] = (2.0,)) -> DataFrame:
     d = scene_objects(spark, sf)
-    best = M.solve(d, M.first_requests(d), ROOM, strict=strict, steps=(2.0,))
+    best = M.solve(d, M.first_requests(d), ROOM, strict=strict, steps=steps)
     return best.select("request_id", "subject_id", "reference_id", "relation_after", "new_x", "new_y", F.round("translation", 5).alias("translation"), "relation_damage", "quality")
 
 
@@ -213,10 +213,20 @@ def min_cost_best(spark: SparkSession, sf: str) -> DataFrame:
     return _best(spark, sf, False)
 
 
+def grid_best_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict solver at the reference's steps; ``grid_best`` is its check by SQL on a grid of 2 m."""
+    return _best(spark, sf, True, M.STEPS)
+
+
+def min_cost_best_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum-cost solver at the reference's steps; ``min_cost_best`` is its check by SQL on a grid of 2 m."""
+    return _best(spark, sf, False, M.STEPS)
+
+
 def grid_refined(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid of 2 m, then 3 x 3 points at 0.5 m; how far each request's best gets."""
+    """Grid of 0.1 m, then 3 x 3 points at 0.05 and 0.01 m; how far each request's best gets."""
     d = scene_objects(spark, sf)
-    best = M.solve(d, M.first_requests(d), ROOM, strict=False, steps=(2.0, 0.5))
+    best = M.solve(d, M.first_requests(d), ROOM, strict=False, steps=M.STEPS)
     return best.select("request_id", "new_x", "new_y", F.round("total", 5).alias("total"))
 
 
@@ -259,5 +269,7 @@ QUERIES = {
     "objective_terms": (objective_terms, f"WITH {MIRROR} SELECT scene_id AS request_id, round(translation, 5) AS translation, round(damage, 5) AS damage, round(visibility, 5) AS visibility, round(safety, 5) AS safety, round(translation + 5 * damage + 2 * visibility + safety, 5) AS total FROM scored"),
     "grid_best": (grid_best, _grid_sql(True)),
     "min_cost_best": (min_cost_best, _grid_sql(False)),
+    "grid_best_fine": (grid_best_fine, None),
+    "min_cost_best_fine": (min_cost_best_fine, None),
     "grid_refined": (grid_refined, None),
 }

@@ -293,3 +293,15 @@ def test_moves_are_translated_with_the_scene(spark):
     assert isinstance(best, pd.DataFrame) and sorted(best.request_id) == sorted(again.request_id)
     strict = M.solve(d, requests, ROOM, strict=True, steps=(2.0,)).toPandas()
     assert set(strict.request_id) <= set(best.request_id) and (strict.quality == "PURE").all()
+
+
+def test_plan_searches_at_the_steps_of_the_reference(spark):
+    d = scene_objects(spark, SF).filter("scene_id < 12").cache()
+    requests = M.first_requests(d).cache()
+    fine = generate.plan(d, requests).toPandas().set_index("request_id")
+    # every point of 0.1 m, verified without a filter before
+    moves = M.grid_moves(requests, ROOM, 0.1)
+    assert moves.count() == len(fine) * 101 * 101
+    least = {r.request_id: r.total for r in M.score(M.verify(d, moves, ROOM), ROOM).filter("status = 'SUCCESS'").groupBy("request_id").agg(F.min("total").alias("total")).collect()}
+    assert least and set(fine[fine.accepted].index) == set(least)
+    assert all(fine.total[k] <= v + 1e-12 for k, v in least.items())
