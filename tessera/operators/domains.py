@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import relations as R
 
@@ -78,12 +77,10 @@ def contact_rect(a: str, b: str) -> Column:
 
 
 def distance_requests(objects: DataFrame) -> DataFrame:
-    """The first near or far relation of each scene with a subject that may move."""
-    from .moves import satisfied_requests
+    """Every near or far relation with a subject that may move."""
+    from .moves import all_requests
 
-    w = Window.partitionBy("scene_id").orderBy("subject_id", "reference_id")
-    d = satisfied_requests(objects).filter("relation_before IN ('near', 'far')")
-    return d.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n").withColumn("request_id", F.col("scene_id"))
+    return all_requests(objects).filter("relation_before IN ('near', 'far')")
 
 
 def candidate_domain(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float], reach: float) -> DataFrame:

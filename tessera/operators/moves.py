@@ -38,6 +38,11 @@ def first_requests(objects: DataFrame) -> DataFrame:
     return satisfied_requests(objects).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n").withColumn("request_id", F.col("scene_id"))
 
 
+def all_requests(objects: DataFrame) -> DataFrame:
+    """Every satisfied request; its id is made of scene, subject, reference and relation."""
+    return satisfied_requests(objects).withColumn("request_id", F.concat_ws(":", "scene_id", "subject_id", "reference_id", "relation_before"))
+
+
 def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, width: float, height: float) -> DataFrame:
     """Adds the subject's view after the move: a_cx, a_depth, a_xmin, a_xmax, a_truncated. The box keeps its size; residuals of the observed view stay."""
     depth_before, depth = F.col("s_y") - camera_y, F.col("new_y") - camera_y

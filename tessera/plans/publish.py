@@ -15,33 +15,33 @@ from tessera.sources import dataset as D
 from tessera.sources.fixture import OBJECTS, ROOM, scene_objects
 
 from . import sql as S
-from .scenes import MIRROR, _mirror_moves
+from .scenes import MIRROR, _mirror_moves, _requests, over_all
 
 
-def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """The mirror move of every scene's first request as an outcome: errors of the scene reject in planning, others in execution."""
+def _outcomes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """The mirror move of every scene's first request, or of every request, as an outcome: errors of the scene reject in planning, others in execution."""
     d = scene_objects(spark, sf)
-    v = M.verify(d, _mirror_moves(d), ROOM)
+    v = M.verify(d, _mirror_moves(d, every), ROOM)
     reason = F.when(F.col("errors") != "", F.regexp_extract("errors", "^([a-z_]+)", 1)).otherwise(F.lower("status"))
     return v.select("request_id", "relation_after", F.when(F.col("status") == "INVALID_SCENE", "planning").otherwise("execution").alias("stage"), (F.col("status") == "SUCCESS").alias("accepted"), reason.alias("reason"))
 
 
-def terminal_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return D.terminal_reasons(_outcomes(spark, sf))
+def terminal_reasons(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return D.terminal_reasons(_outcomes(spark, sf, every))
 
 
-def generation_report(spark: SparkSession, sf: str) -> DataFrame:
-    return D.report(_outcomes(spark, sf))
+def generation_report(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return D.report(_outcomes(spark, sf, every))
 
 
-def inspect_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _outcomes(spark, sf).filter("accepted").groupBy("relation_after").agg(F.count("*").alias("records"))
+def inspect_summary(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _outcomes(spark, sf, every).filter("accepted").groupBy("relation_after").agg(F.count("*").alias("records"))
 
 
-def attempt_closure(spark: SparkSession, sf: str) -> DataFrame:
+def attempt_closure(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     """Every request is planned; those of scenes that 10 divides are attempted twice, of those after them not at all."""
-    planned = M.first_requests(scene_objects(spark, sf)).select("request_id")
-    tries = planned.filter("request_id % 10 <> 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("request_id") % 10 == 0, 2).otherwise(1))))
+    planned = _requests(scene_objects(spark, sf), every).select("request_id", "scene_id")
+    tries = planned.filter("scene_id % 10 <> 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("scene_id") % 10 == 0, 2).otherwise(1))))
     return D.attempt_closure(planned, tries)
 
 
@@ -139,3 +139,4 @@ QUERIES = {
     "directed_rotation": (directed_rotation, "WITH t AS (SELECT DISTINCT p_size * 7 % 360 AS d FROM part) SELECT count(*) AS angles, count(*) AS holding, count(*) AS narrow FROM t"),
     "selection_index": (slot_window, f"WITH {OBJECTS} SELECT scene_id, object_id, row_number() OVER (PARTITION BY scene_id ORDER BY category, object_id) - 1 AS selection_index FROM objects"),
 }
+QUERIES |= over_all(("terminal_reasons", "generation_report", "inspect_summary", "attempt_closure"), QUERIES)

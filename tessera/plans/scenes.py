@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,10 +158,14 @@ def projected_views(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("scene_id", "object_id", *[F.round(F.col(f"v.bbox.{n}"), 4).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], F.round("v.depth", 6).alias("depth"), _zero(F.col("v.truncated"), 5).alias("truncated"))
 
 
-def _mirror_moves(d: DataFrame) -> DataFrame:
-    """The first request of each scene, its subject moved to the other side of the reference."""
+def _requests(d: DataFrame, every: bool) -> DataFrame:
+    return M.all_requests(d) if every else M.first_requests(d)
+
+
+def _mirror_moves(d: DataFrame, every: bool = False) -> DataFrame:
+    """The first request of each scene, or every one, its subject moved to the other side of the reference."""
     at = lambda name: P.side(d, "q", ("object_id", "x", "y")).select("scene_id", F.col("q_object_id").alias(name), F.col("q_x").alias(f"{name}_x"), F.col("q_y").alias(f"{name}_y"))
-    m = M.first_requests(d).join(at("subject_id"), ["scene_id", "subject_id"]).join(at("reference_id"), ["scene_id", "reference_id"])
+    m = _requests(d, every).join(at("subject_id"), ["scene_id", "subject_id"]).join(at("reference_id"), ["scene_id", "reference_id"])
     return m.withColumn("new_x", 2 * F.col("reference_id_x") - F.col("subject_id_x")).withColumn("new_y", 2 * F.col("reference_id_y") - F.col("subject_id_y")).drop("subject_id_x", "subject_id_y", "reference_id_x", "reference_id_y")
 
 
@@ -168,40 +174,40 @@ mirror AS (SELECT f.scene_id, f.s_id, f.r_id, f.rel_before, f.rel_after, 2 * r.x
     JOIN objects s ON s.scene_id = f.scene_id AND s.object_id = f.s_id JOIN objects r ON r.scene_id = f.scene_id AND r.object_id = f.r_id), {S.verified("mirror")}"""
 
 
-def _verified(spark: SparkSession, sf: str) -> DataFrame:
+def _verified(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     d = scene_objects(spark, sf)
-    return M.verify(d, _mirror_moves(d), ROOM)
+    return M.verify(d, _mirror_moves(d, every), ROOM)
 
 
-def verifier_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _verified(spark, sf).select("request_id", "subject_id", "reference_id", "relation_before", "status", "quality", "leakage", "relation_damage", "errors")
+def verifier_status(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _verified(spark, sf, every).select("request_id", "subject_id", "reference_id", "relation_before", "status", "quality", "leakage", "relation_damage", "errors")
 
 
-def moved_relation_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _verified(spark, sf).filter("status = 'SUCCESS'").select("request_id", F.col("changed").alias("changes"))
+def moved_relation_diff(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _verified(spark, sf, every).filter("status = 'SUCCESS'").select("request_id", F.col("changed").alias("changes"))
 
 
-def relation_damage(spark: SparkSession, sf: str) -> DataFrame:
-    return _verified(spark, sf).groupBy("relation_before", "status", "quality").agg(F.count("*").alias("n"), F.sum("relation_damage").alias("damage"), F.sum("leakage").alias("leakage"))
+def relation_damage(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _verified(spark, sf, every).groupBy("relation_before", "status", "quality").agg(F.count("*").alias("n"), F.sum("relation_damage").alias("damage"), F.sum("leakage").alias("leakage"))
 
 
-def expected_target_diff(spark: SparkSession, sf: str) -> DataFrame:
+def expected_target_diff(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     """The four changes that a flip of a request's pair must make at least."""
-    d = M.first_requests(scene_objects(spark, sf))
+    d = _requests(scene_objects(spark, sf), every)
     s, r, a, b = (F.col(c).cast("string") for c in ("subject_id", "reference_id", "relation_before", "relation_after"))
     row = lambda sign, x, rel, y: F.concat_ws(":", F.concat(F.lit(sign), x), rel, y)
     four = F.array(row("+", s, b, r), row("-", s, a, r), row("+", r, R.lookup(R.CONVERSE, b), s), row("-", r, R.lookup(R.CONVERSE, a), s))
     return d.select("request_id", F.array_join(F.array_sort(four), ",").alias("changes"))
 
 
-def objective_terms(spark: SparkSession, sf: str) -> DataFrame:
-    d = M.score(_verified(spark, sf), ROOM)
+def objective_terms(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    d = M.score(_verified(spark, sf, every), ROOM)
     return d.select("request_id", *[F.round(c, 5).alias(c) for c in ("translation", "damage", "visibility", "safety", "total")])
 
 
 def _best(spark: SparkSession, sf: str, strict: bool, steps: tuple[float, ...] = (2.0,)) -> DataFrame:
     d = scene_objects(spark, sf)
-    best = M.solve(d, M.first_requests(d), ROOM, strict=strict, steps=steps)
+    best = M.solve(d, _requests(d, steps == M.STEPS), ROOM, strict=strict, steps=steps)
     return best.select("request_id", "subject_id", "reference_id", "relation_after", "new_x", "new_y", F.round("translation", 5).alias("translation"), "relation_damage", "quality")
 
 
@@ -214,19 +220,19 @@ def min_cost_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_best_fine(spark: SparkSession, sf: str) -> DataFrame:
-    """The strict solver at the reference's steps; ``grid_best`` is its check by SQL on a grid of 2 m."""
+    """The strict solver on every request at the reference's steps; ``grid_best`` is its check by SQL on a grid of 2 m."""
     return _best(spark, sf, True, M.STEPS)
 
 
 def min_cost_best_fine(spark: SparkSession, sf: str) -> DataFrame:
-    """The minimum-cost solver at the reference's steps; ``min_cost_best`` is its check by SQL on a grid of 2 m."""
+    """The minimum-cost solver on every request at the reference's steps; ``min_cost_best`` is its check by SQL on a grid of 2 m."""
     return _best(spark, sf, False, M.STEPS)
 
 
 def grid_refined(spark: SparkSession, sf: str) -> DataFrame:
     """Grid of 0.1 m, then 3 x 3 points at 0.05 and 0.01 m; how far each request's best gets."""
     d = scene_objects(spark, sf)
-    best = M.solve(d, M.first_requests(d), ROOM, strict=False, steps=M.STEPS)
+    best = M.solve(d, M.all_requests(d), ROOM, strict=False, steps=M.STEPS)
     return best.select("request_id", "new_x", "new_y", F.round("total", 5).alias("total"))
 
 
@@ -238,6 +244,13 @@ def _grid_sql(strict: bool) -> str:
     SELECT scene_id AS request_id, s_id AS subject_id, r_id AS reference_id, rel_after AS relation_after, nx AS new_x, ny AS new_y, round(translation, 5) AS translation, relation_damage, quality FROM best WHERE k = 1"""
 
 
+def over_all(names: tuple[str, ...], found: dict) -> dict:
+    """The queries on first requests again, named with ``_all``, over every request; their SQL differs in that alone."""
+    key = "concat_ws(':', scene_id, s_id, r_id, rel_before) AS request_id"
+    sql = lambda text: text.replace("FROM requests WHERE n = 1", "FROM requests").replace("scene_id AS request_id", key)
+    return {f"{n}_all": (partial(found[n][0], every=True), sql(found[n][1])) for n in names}
+
+
 QUERIES = {
     "scene_objects": (scene_table, f"WITH {OBJECTS} SELECT scene_id, object_id, category, {', '.join(f'round({c}, 6) AS {c}' for c in GEOMETRY)}, movable, pinned, coalesce(support_id, 0) AS support_id, split FROM objects"),
     "relation_counts": (relation_counts, f"WITH {S.OBSERVED} SELECT relation, count(*) FILTER (WHERE satisfied) AS holds, count(*) FILTER (WHERE status = 'SUCCESS') AS decided, count(*) AS pairs FROM observed GROUP BY relation"),
@@ -273,3 +286,4 @@ QUERIES = {
     "min_cost_best_fine": (min_cost_best_fine, None),
     "grid_refined": (grid_refined, None),
 }
+QUERIES |= over_all(("verifier_status", "moved_relation_diff", "relation_damage", "expected_target_diff", "objective_terms"), QUERIES)

@@ -14,11 +14,12 @@ from tessera.functions import camera as K
 from tessera.functions import geometry as G
 from tessera.functions import relations as R
 from tessera.functions import scalars as C
+from tessera.operators import domains as X
 from tessera.operators import moves as M
 from tessera.operators import pairs as P
 from tessera.operators import planning as L
 from tessera.operators import roster as T
-from tessera.plans import generate
+from tessera.plans import generate, scenes
 from tessera.sources import dataset as D
 from tessera.sources import scenes as S
 from tessera.sources.config import GenerationConfig, load_generation_config
@@ -305,3 +306,14 @@ def test_plan_searches_at_the_steps_of_the_reference(spark):
     least = {r.request_id: r.total for r in M.score(M.verify(d, moves, ROOM), ROOM).filter("status = 'SUCCESS'").groupBy("request_id").agg(F.min("total").alias("total")).collect()}
     assert least and set(fine[fine.accepted].index) == set(least)
     assert all(fine.total[k] <= v + 1e-12 for k, v in least.items())
+
+
+def test_every_request_is_verified(spark):
+    d = scene_objects(spark, SF).filter("scene_id < 40").cache()
+    names = ("scene_id", "subject_id", "reference_id", "relation_before")
+    held = {(r.scene_id, r.subject_id, r.reference_id, r.relation_before) for r in M.satisfied_requests(d).collect()}
+    moves = scenes._mirror_moves(d, every=True)
+    rows = M.verify(d, moves, ROOM).select("request_id", *names).collect()
+    assert {tuple(r)[1:] for r in rows} == held and len({r.request_id for r in rows}) == len(rows) == len(held) > d.select("scene_id").distinct().count()
+    near = {r.request_id for r in X.distance_requests(d).collect()}
+    assert near == {":".join(map(str, h)) for h in held if h[3] in ("near", "far")}
