@@ -3,7 +3,8 @@
 Documents are counted by source and exact length. A source whose target holds its size q times is taken q times
 whole; of the rest of its budget, each length first gives its share of documents, rounded down, then lengths in a
 seeded order give one more, and what then remains (less than ``DP_WORDS``) is met by bounded-knapsack dynamic
-programming over the documents that are left. Which documents of a length are taken is decided by a seeded hash.
+programming over the documents that are left. While more than that remains, documents longer than it are fitted first, by
+a program over the sums that they reach. Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SEED = 20260723
 DP_WORDS = 1 << 17
 #: Rows of a plan that may be broadcast, at some 80 bytes each; a larger plan is joined by shuffle.
 BROADCAST_PLAN = 300_000
+#: Sums of long documents that are held for the way back; beyond that, sums that lie close together become one of them.
+HELD_SUMS = 1 << 23
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,6 +69,34 @@ def share_targets(sizes: dict[str, int], weights: tuple[float, ...] = WEIGHTS, m
     return {k: target[k] for k in order}
 
 
+def fit_long(lengths: np.ndarray, spare: np.ndarray, rest: int, fill: int) -> np.ndarray:
+    """How many of each length to take so that their words, with up to ``fill`` words more to come, are nearest to ``rest``."""
+    take, steps = np.zeros(len(lengths), np.int64), []
+    usable = [i for i in range(len(lengths)) if spare[i] and lengths[i] <= 2 * rest]
+    parts = []
+    for i in usable:
+        n, many = min(int(spare[i]), rest // int(lengths[i]) + 1), 1
+        while n > 0:
+            parts.append((i, min(many, n)))
+            n, many = n - many, many * 2
+    held, sums = max(1 << 10, HELD_SUMS // max(1, len(parts))), np.zeros(1, np.int64)
+    unit = 2 * rest // held + 1
+    for i, part in parts:
+        steps.append((i, part, sums))
+        more = sums + part * int(lengths[i])
+        sums = np.union1d(sums, more[more <= 2 * rest])
+        if len(sums) > held:
+            sums = sums[np.unique(sums // unit, return_index=True)[1]]
+    off = np.where(sums > rest, sums - rest, np.maximum(rest - sums - fill, 0))
+    goal = int(sums[np.flatnonzero(off == off.min())[-1]])
+    for i, part, before in reversed(steps):
+        at = np.searchsorted(before, goal)
+        if at == len(before) or before[at] != goal:
+            take[i] += part
+            goal -= part * int(lengths[i])
+    return take
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, dp_words: int = DP_WORDS) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` as the method can get."""
     total = int((lengths * counts).sum())
@@ -77,18 +108,26 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     rest = budget - int((take * lengths).sum())
     spare = counts - take
     order = sorted(range(len(lengths)), key=lambda i: hashlib.md5(f"{seed}:{lengths[i]}".encode()).digest())
-    for i in order:
-        if rest <= dp_words:
-            break
-        if spare[i] and 0 < lengths[i] <= rest:
-            take[i] += 1
-            spare[i] -= 1
-            rest -= int(lengths[i])
+    long = lengths > dp_words
+    if rest > dp_words and spare[long].any():
+        more = fit_long(lengths, np.where(long, spare, 0), rest, int((spare * lengths)[~long].sum()))
+        take, spare, rest = take + more, spare - more, rest - int((more * lengths).sum())
+    for most in (1, None):  # one more of each length, then as many as there are
+        for i in order:
+            if rest <= dp_words:
+                break
+            if spare[i] and 0 < lengths[i] <= rest and not long[i]:
+                n = min(int(spare[i]), most or -(-(rest - dp_words) // int(lengths[i])))
+                take[i] += n
+                spare[i] -= n
+                rest -= n * int(lengths[i])
+    if rest <= 0 or rest > dp_words:
+        return take
     # a bit for each sum up to rest and the longest document beyond it; the sums before each step stay for the way back
     reach, steps, mask = 1, [], (1 << (rest + int(lengths.max()) + 1)) - 1
     for i in order:
         n, many, length = min(int(spare[i]), rest // max(1, int(lengths[i])) + 1), 1, int(lengths[i])
-        if rest > dp_words or length == 0 or length > 2 * rest:
+        if length == 0 or length > 2 * rest:
             continue
         while n > 0 and not reach >> rest & 1:
             part = min(many, n)

@@ -169,6 +169,23 @@ def test_budget_is_met_exactly_where_it_can_be():
     assert int(mixing.fit_budget(np.array([3, 5]), np.array([10, 10]), 11) @ np.array([3, 5])) == 11
 
 
+def test_long_documents_are_fitted_too():
+    for lengths, counts, budget, words in (([400_000], [1], 350_000, 400_000), ([1_000_000], [3], 1_900_000, 2_000_000), ([400_000, 500_000, 600_000], [1, 1, 1], 1_020_000, 1_000_000)):
+        assert int(mixing.fit_budget(np.array(lengths), np.array(counts), budget) @ np.array(lengths)) == words
+    r = random.Random(8)
+    for _ in range(200):
+        lengths = np.array(sorted(r.sample(range(20, 400), r.randint(1, 6))))
+        counts = np.array([1 for _ in lengths])
+        budget = r.randint(1, int(lengths.sum()))
+        take = mixing.fit_budget(lengths, counts, budget, dp_words=16)
+        reach = {0}
+        for n in lengths:
+            reach |= {x + int(n) for x in reach}
+        assert (take >= 0).all() and (take <= counts).all()
+        if budget > 16:
+            assert abs(int(take @ lengths) - budget) == min(abs(x - budget) for x in reach)
+
+
 def test_targets_are_capped_and_shared():
     t = mixing.share_targets({"sa": 10, "sb": 1000, "sc": 1000, "n": 0})
     assert t["sa"] == 30 and t["n"] == 0 and abs(sum(t.values()) - 2010) < 1e-9 and all(t[k] <= 3 * v for k, v in {"sb": 1000, "sc": 1000}.items())
