@@ -26,8 +26,9 @@ from .common import IS_SPACE, LOWER_BYTES, bytes_of, pieces, small_batches
 
 #: Edits that a copy may have, as a share of the item's bytes.
 MOST_EDITS = 0.2
-#: Walks, steps of a walk, bytes sampled of it.
-WALKS, STEPS, SAMPLED, SEED = 5, 48, 14, 20260723
+#: By the bytes that an item has less than: steps of a walk, bytes sampled of it, walks.
+PLANS = ((150, 32, 11, 16), (float("inf"), 40, 13, 10))
+STEPS, SEED = max(p[1] for p in PLANS), 20260723
 #: After how many sampled bytes windows are let go, and bits of the tables for it.
 SIEVES, SIEVE_BITS = (5, 7), 20
 #: Items that are searched for at once; more are searched for in blocks.
@@ -51,9 +52,11 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, begins, np.flatnonzero(word)
 
 
-def steps_for(size: int) -> int:
-    """Items of fewer bytes than a walk has steps get shorter walks, by powers of two."""
-    return min(STEPS, 1 << (size.bit_length() - 1))
+def plan_for(size: int) -> tuple[int, int, int]:
+    """Steps, bytes sampled and walks for an item of so many bytes; of items shorter than a walk has steps, as many steps as the power of two that they hold."""
+    steps, sampled, walks = next(p for most, *p in PLANS if size < most)
+    steps = min(steps, 1 << (size.bit_length() - 1))
+    return steps, min(sampled, steps), walks
 
 
 @dataclass(frozen=True)
@@ -71,12 +74,19 @@ class Index:
     items: tuple[bytes, ...]
     ids: tuple[int, ...]
     walks: tuple[Walk, ...]
+    grams: tuple[np.ndarray, ...]  # of each item, the hashes of its runs of three bytes
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code * _ODD) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
 
+def three_grams(text: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of the three bytes at each place."""
+    t = text.astype(np.uint32)
+    return ((t[:-2] | t[1:-1] << np.uint32(8) | t[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
 def run_walk(text: np.ndarray, at: np.ndarray, coins: np.ndarray, sampled: np.ndarray, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """The windows (indexes into ``at``) that pass the sieves, their keys, and all codes at the sieves. ``text`` must go on for a walk's steps."""
     p, which, code, taken, codes = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), 0, {}
@@ -101,24 +111,25 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     kept = [(i, b) for i, t in items if t and (b := bytes(normalise(*bytes_of(pa.array([t])))[0]).strip())]
     texts, ids = tuple(b for _, b in kept), tuple(i for i, _ in kept)
     walks = []
-    for steps in sorted({steps_for(len(b)) for b in texts}):
+    for steps, many, count in sorted({plan_for(len(b)) for b in texts}):
         rng = np.random.default_rng([SEED, steps])
-        here = [k for k, b in enumerate(texts) if steps_for(len(b)) == steps]
+        here = [k for k, b in enumerate(texts) if plan_for(len(b)) == (steps, many, count)]
         text = np.frombuffer(b"".join(texts[k] for k in here) + bytes(steps + 1), np.uint8)
         begins = np.cumsum([0, *(len(texts[k]) for k in here)])
         item, at = [], []
         for n, k in enumerate(here):
             b = np.frombuffer(texts[k], np.uint8)
             offsets = np.flatnonzero((b != 32) & np.r_[True, b[:-1] == 32])
-            offsets = offsets[offsets <= max(0, len(b) - steps)]
+            # a walk reads about half as many bytes as it has steps
+            offsets = offsets[offsets <= max(0, len(b) - steps // 2)]
             item.append(np.full(len(offsets), k))
             at.append(offsets + begins[n])
         item, at = np.concatenate(item), np.concatenate(at)
         offset = at - begins[np.searchsorted(here, item)]
-        for _ in range(WALKS):
+        for _ in range(count):
             coins = rng.integers(0, 2, (steps, 256), dtype=np.int64)
             # one step out of each of as many equal parts of the walk
-            edges = np.linspace(0, steps, min(SAMPLED, steps) + 1).astype(np.int64)
+            edges = np.linspace(0, steps, many + 1).astype(np.int64)
             sampled = rng.integers(edges[:-1], edges[1:])
             _, keys, codes = run_walk(text, at, coins, sampled, {})
             sieves = {}
@@ -127,7 +138,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
                 sieves[n][_slot(code)] = True
             order = np.argsort(keys, kind="stable")
             walks.append(Walk(coins, sampled, sieves, keys[order], item[order], offset[order]))
-    return Index(texts, ids, tuple(walks))
+    return Index(texts, ids, tuple(walks), tuple(three_grams(np.frombuffer(b, np.uint8)) for b in texts))
 
 
 def edit_distance_within(item: bytes, text: bytes) -> int:
@@ -182,6 +193,7 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
     out: list[dict[int, int]] = [{} for _ in range(len(starts) - 1)]
     whole = bytes(text)
     candidates = sorted(found)
+    grams, seen = three_grams(padded), np.full(1 << 16, -1)
     i = 0
     while i < len(candidates):
         row, item, low = candidates[i]
@@ -189,7 +201,13 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
         slack, j, high = int(most_edits * size), i + 1, low
         while j < len(candidates) and candidates[j][:2] == (row, item) and candidates[j][2] <= high + size // 2:
             high, j = candidates[j][2], j + 1
-        window = whole[max(int(begins[row]), low - slack) : min(int(begins[row + 1]), high + size + slack)]
+        begin, end = max(int(begins[row]), low - slack), min(int(begins[row + 1]), high + size + slack)
+        # an edit changes at most three runs of three bytes; the others of the item are in the window
+        seen[grams[begin : max(begin, end - 2)]] = i
+        if np.count_nonzero(seen[index.grams[item]] == i) < size - 2 - 3 * slack:
+            i = j
+            continue
+        window = whole[begin:end]
         distance = edit_distance_within(index.items[item], window)
         if distance <= slack:
             out[row][item] = min(distance, out[row].get(item, distance))

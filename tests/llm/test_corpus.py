@@ -334,6 +334,31 @@ def test_decontamination_recall_of_edited_items():
     assert not any(decontamination.search(data, starts, index))
 
 
+def test_decontamination_recall_up_to_the_bound():
+    r = random.Random(11)
+    items = [(k, prose(r.randint(14, 24) if k % 2 else r.randint(35, 60))) for k in range(80)]
+    index = decontamination.build_index(items)
+    for rate in (0.15, 0.19):
+        texts = []
+        for _, t in items:
+            s = list(t)
+            for _ in range(int(rate * len(s))):
+                p, kind = r.randrange(len(s)), r.random()
+                if kind < 0.34:
+                    s[p] = r.choice("klmnop ")
+                elif kind < 0.67:
+                    s.insert(p, r.choice("klmnop "))
+                else:
+                    del s[p]
+            texts.append(f"{prose(30)} {''.join(s)} {prose(30)}")
+        found = decontamination.search(*decontamination.bytes_of(pa.array(texts)), index)
+        # brute force tells which items are within the bound
+        held = [k for k, t in enumerate(texts) if decontamination.edit_distance_within(index.items[k], t.encode()) <= int(0.2 * len(index.items[k]))]
+        assert len(held) > 60
+        for part in ([k for k in held if len(items[k][1]) < 150], [k for k in held if len(items[k][1]) >= 150]):
+            assert len(part) > 20 and np.mean([k in found[k] for k in part]) >= 0.97
+
+
 def test_edit_distance_within():
     def plain(item, text):
         row = [0] * (len(text) + 1)
