@@ -2,7 +2,9 @@
 
 A page becomes a tree of elements. Paragraphs give points for their length and commas to their parent, half of them
 to the grandparent and less to those above; an element's points are discounted by the share of its text that stands in
-links. The best container is kept, with the siblings that score near it, and its blocks are the text.
+links. The best container is kept, or the article or main that it stands in, with its wrapper's
+other text unless that stands in links or around the article (in the body, with siblings that score near it), and the
+blocks are the text.
 """
 
 from __future__ import annotations
@@ -230,6 +232,15 @@ def blocks(node: Element, out: list[str]) -> None:
             stack.append((iter(child.children), child.tag in BLOCK))
 
 
+def enclosing(node: Element) -> Element:
+    """The nearest article that an element is or stands in, else the nearest main, else the element."""
+    up, found = node, {}
+    while up is not None:
+        found.setdefault(up.tag, up)
+        up = up.parent
+    return found.get("article") or found.get("main") or node
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null, empty or textless pages.
 
@@ -242,20 +253,23 @@ def main_text(page: str | None) -> str:
     best, score = best_container(root)
     if best is None:
         return ""
-    kept = [best]
+    # an article is kept whole, however its paragraphs are wrapped
+    best = enclosing(best)
+    kept = Element("div", None)
+    kept.children = [best]
     if best.parent is not None and best.tag not in ("body", "html", "#"):
-        least = max(10.0, score[best] * 0.2)
-        kept = []
+        least, outermost = max(10.0, score.get(best, 0.0) * 0.2), best.parent.tag in ("body", "html", "#")
+        kept.children = []
         for child in best.parent.children:
-            if child is best:
-                kept.append(child)
+            if child is best or (isinstance(child, str) and not outermost):
+                kept.children.append(child)
             elif isinstance(child, str) or child.around:
                 continue
-            elif score.get(child, 0.0) >= least or child.tag == "p" and density(child) < 0.25:
-                kept.append(child)
+            # next to the best in a wrapper stands the article's other text; in the body anything may
+            elif (not outermost or child.tag == "p" or child.tag in HEADINGS) and density(child) < 0.25 or score.get(child, 0.0) >= least:
+                kept.children.append(child)
     out: list[str] = []
-    for node in kept:
-        blocks(node, out)
+    blocks(kept, out)
     return "\n\n".join(out)
 
 

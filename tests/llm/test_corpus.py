@@ -430,6 +430,15 @@ def test_html():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("n", [5, 60])
+def test_html_keeps_long_nested_articles_whole(n):
+    body = "".join(f"<p>Paragraph {k}, with some, commas, and {'more words ' * 20}</p>" for k in range(n))
+    text = html_text.main_text(f"<article><h1>Head</h1><div>{body}</div><ul><li>Point</li></ul><section><p>Short end</p></section><div class=comments><p>Mine</p></div></article>")
+    assert text.startswith("Head\n\nParagraph 0") and text.endswith("Point\n\nShort end")
+    text = html_text.main_text(f"<body><div><h1>Head</h1><div>{body}</div><blockquote>Said</blockquote><div><a href=x>Elsewhere</a></div></div></body>")
+    assert text.startswith("Head\n\nParagraph 0") and text.endswith("Said")
+
+
 def test_html_query(spark, world):
     out = html_text.op3_html_extraction(spark, world[0]).toPandas()
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in out.itertuples()}
