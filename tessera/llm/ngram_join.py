@@ -203,8 +203,8 @@ class JaccardJoin:
     A null text is empty; empty sets are linked with nothing. Documents with equal sets are linked and join as one
     set, whose identifier is a hash of it; ids may repeat or be null. ``result()`` has a row a document: id, text_key,
     n_shingles, component (an id of the component's sets), component_id (the component's least id; null if it has no
-    ids), first (whether it is the component's document to keep), n_links (other sets that its set was found linked with
-    while components were still apart). ``one_of_each()`` keeps one document of each component.
+    ids), first (whether it is the component's document to keep) and, if ``counted``, n_links (how many other sets its set
+    is linked with; documents with equal sets are one). ``one_of_each()`` keeps one document of each component.
     """
 
     def __init__(self, docs: DataFrame, words: int = 5, threshold: Fraction | str = "0.8", id_col: str = "doc_id", text_col: str = "text"):
@@ -305,12 +305,22 @@ class JaccardJoin:
         self.edges, self.roots = edges, roots
         return self
 
-    def result(self) -> DataFrame:
+    def all_links(self) -> DataFrame:
+        """All linked pairs (a, b) of sets, those within groups and components too: every two that share an entered token and pass the bound there are compared."""
+        entries = self.wide.select("sid", "n", F.posexplode("first").alias("pos", "token"))
+        entries = cut(entries.select("token", "sid", F.col("n").alias("least"), F.col("n").alias("most"), (F.col("n") - F.col("pos")).alias("rest")), "jaccard-entries")
+        pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & self._possible("x", "y"))
+        return self._links(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+
+    def result(self, counted: bool = False) -> DataFrame:
         name = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
         by_set = self.reps.join(self.roots, self.reps.sid == self.roots.node, "left").select("sid", name.alias("name"), F.coalesce("root", "sid").alias("component"))
         least = by_set.groupBy("component").agg(F.min("name").alias("least"))
-        links = self.edges.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-        found = cut(by_set.join(least, "component").select("sid", "component", "least").join(links, "sid", "left"), "jaccard-found")
+        found = by_set.join(least, "component").select("sid", "component", "least")
+        if counted:
+            links = self.all_links().select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
+            found = found.join(links, "sid", "left")
+        found = cut(found, "jaccard-found")
         out = self.sets.select("id", "n", "sid", "text_key").join(found, "sid", "left")
         empty = F.col("n") == 0
         return out.select(
@@ -318,7 +328,7 @@ class JaccardJoin:
             F.when(~empty, F.col("component")).alias("component"),
             F.when(empty, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
             (empty | (name == F.col("least"))).alias("first"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []),
         )
 
     def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,4 +348,4 @@ class JaccardJoin:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = JaccardJoin(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, threshold="0.85").run()
-    return join.result().select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    return join.result(counted=True).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

@@ -126,6 +126,23 @@ def test_jaccard_on_dense_clusters(spark):
         assert sorted(x.doc_id for x in join.one_of_each(docs).collect()) == sorted(first.values())
 
 
+def test_jaccard_counts_all_links_of_a_cluster(spark, tmp_path):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(25):
+        words = list(base)
+        for _ in range(k % 4):
+            words[r.randrange(150)] = f"z{k}"
+        rows.append(" ".join(words))
+    rows += [prose(80) for _ in range(5)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {x.doc_id: x.n_links for x in ngram_join.op1_ngram_jaccard(spark, str(tmp_path)).collect()}
+    sets = [frozenset(shingles(t, 4)) for t in rows]
+    expected = {i: len({b for b in sets if a != b and len(a & b) * 100 >= 85 * len(a | b)}) for i, a in enumerate(sets)}
+    assert out == expected and max(expected.values()) > 8
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100, k) for k in range(101, 140)]
