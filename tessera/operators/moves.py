@@ -44,17 +44,21 @@ def all_requests(objects: DataFrame) -> DataFrame:
 
 
 def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, width: float, height: float) -> DataFrame:
-    """Adds the subject's view after the move: a_cx, a_depth, a_xmin, a_xmax, a_truncated. The box keeps its size; residuals of the observed view stay."""
-    depth_before, depth = F.col("s_y") - camera_y, F.col("new_y") - camera_y
+    """Adds the subject's view after the move: a_cx, a_depth, a_xmin, a_xmax, a_truncated. The box keeps its size; residuals of the observed view stay.
+
+    At or behind the camera there is no view: the columns of the image are null and all of the box is cut off.
+    """
+    ahead = lambda y: F.when(F.col(y) > camera_y, F.col(y) - camera_y)
+    depth_before, depth = ahead("s_y"), ahead("new_y")
     du = F.col("s_cx") - ((F.col("s_x") - camera_x) * focal / depth_before + width / 2)
     cx = (F.col("new_x") - camera_x) * focal / depth + width / 2 + du
     half_w, half_h = (F.col("s_xmax") - F.col("s_xmin")) / 2, (F.col("s_ymax") - F.col("s_ymin")) / 2
     rise = F.lit(1.5) - F.col("s_z")  # below the camera
     cy = (F.col("s_ymin") + F.col("s_ymax")) / 2 + focal * rise / depth - focal * rise / depth_before
-    d = d.withColumns({"a_depth": depth + (F.col("s_depth") - depth_before), "a_cx": cx, "a_xmin": cx - half_w, "a_xmax": cx + half_w, "a_ymin": cy - half_h, "a_ymax": cy + half_h})
+    d = d.withColumns({"a_depth": F.col("new_y") - camera_y + (F.col("s_depth") - (F.col("s_y") - camera_y)), "a_cx": cx, "a_xmin": cx - half_w, "a_xmax": cx + half_w, "a_ymin": cy - half_h, "a_ymax": cy + half_h})
     clip = lambda lo, hi, most: F.greatest(F.lit(0.0), F.least(F.col(hi), F.lit(float(most))) - F.greatest(F.col(lo), F.lit(0.0)))
     area = (F.col("a_xmax") - F.col("a_xmin")) * (F.col("a_ymax") - F.col("a_ymin"))
-    return d.withColumn("a_truncated", 1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area)
+    return d.withColumn("a_truncated", F.when(F.col("a_cx").isNull(), 1.0).otherwise(1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area))
 
 
 def move_pairs(objects: DataFrame, moves: DataFrame, focal: float = 320.0, camera_x: float = 4.0, camera_y: float = -2.0, width: float = 640.0, height: float = 480.0) -> DataFrame:
