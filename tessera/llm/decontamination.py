@@ -228,7 +228,7 @@ def _searcher(sent, text_col: str, drop_text: bool) -> Callable:
             for i, j in pieces(starts, PIECE):
                 hits += search(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], index)
             before = batch.column(batch.num_columns - 1).to_pylist()
-            now = [sorted([*(b or []), *({"item": index.ids[k], "distance": d} for k, d in h.items())], key=lambda x: (x["item"], x["distance"])) for b, h in zip(before, hits, strict=True)]
+            now = [sorted([*(b or []), *({"item": index.ids[k], "distance": d} for k, d in h.items())], key=lambda x: (x["item"] is None, x["item"] or 0, x["distance"])) for b, h in zip(before, hits, strict=True)]
             kept = [k for k, n in enumerate(batch.schema.names[:-1]) if not (drop_text and n == text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(now, _HIT)], names=[*(batch.schema.names[k] for k in kept), HITS])
 

@@ -259,7 +259,7 @@ def expected_repeats(rows, n=50):
 def test_suffix_dedup(spark, world, part_bytes):
     found = suffix_dedup.RepeatRemoval(spark.read.parquet(f"{world[0]}/documents.parquet"), part_bytes=part_bytes).run().result().toPandas()
     got = sorted((-1 if pd.isna(r.id) else int(r.id), int(r.n_bytes), int(r.n_removed), int(r.n_spans), r.kept_sha256) for r in found.itertuples())
-    assert got == expected_repeats(zip(world[2].doc_id, world[2].text, strict=True))
+    assert got == expected_repeats(list(zip(world[2].doc_id, world[2].text, strict=True)))
 
 
 def test_lookup_table_is_filled_in_turns():
