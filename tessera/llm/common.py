@@ -44,7 +44,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, when all that read them has itself been written."""
+    for df in tables:
+        if path := getattr(df, "cut_at", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,18 +2,21 @@
 
 Documents are sets of hashed word n-grams; documents with equal sets are one from the start. Then:
 
-1. Similar sets are put into groups: sets that share a minimum under one of a few hash functions are compared with
-   the least of them, and connected sets make a group, whose members thus already have one component.
+1. Similar sets are put into groups: sets that share a minimum under one of a few hash functions and whose sketches
+   look alike are one group with the least of them. Groups need not be linked; the result does not depend on them.
 2. The token-group matrix holds, for each token and group, what the group's union of tokens says about the overlap that
    a query can reach: the sizes of the members that have the token, and the most tokens that any of them has from this
    one on. A set's tokens are ordered, those that many documents share last, and only as many of the first are entered
    as linked sets must share one of.
-3. For every two groups that share a token, the matrix bounds the overlap of their members; only groups that could
-   reach the threshold are opened. First one pair of members is compared; groups that this does not connect are
-   opened whole, where the same bound is asked of each pair.
-
-Every comparison is exact, on the whole texts. No pair that could be linked is left out: linked sets share a first
-common token among those entered, and the bound at this token cannot be below their overlap.
+3. For every two groups that share a token, the matrix bounds the overlap of their members; of two single sets,
+   outlines (counts of tokens in buckets) bound it more closely. Only groups that could reach the threshold are opened:
+   the members of the smaller are queries against all members of the larger.
+
+Groups are held in blocks of bounded size, and a task compares two blocks: it counts the common tokens of each member
+of one with all members of the other and returns a row a member, with its links and the least set that the block's
+links connect it to. So no pair becomes a row, and what is written grows with the members, not with the pairs. Every
+comparison is exact, on the whole sets, and no pair that could be linked is left out: linked sets are in one group, or
+share a first common token among those entered, and the bound at this token cannot be below their overlap.
 """
 
 from __future__ import annotations
@@ -26,19 +29,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, bytes_of, cut, mix, pieces, small_batches, word_bounds
+from .common import LOWER_BYTES, bytes_of, cut, discard, mix, pieces, small_batches, word_bounds
 from .components import connected_components
 
 PIECE = 4 << 20
-#: Hash functions for grouping.
-MINIMA = 3
+#: Hash functions for grouping, bins of a sketch, and the share of equal bins from which sets are put into one group.
+MINIMA, BINS, ALIKE = 3, 16, 0.35
 #: A token is common if, over the blocks in which more than two sets share it, so large a share of all documents and so many have it.
 COMMON_SHARE, COMMON_LEAST = 1 / 20000, 8
 #: Tokens of a block that are counted together, 8 bytes each.
 BLOCK_TOKENS = 4_000_000
+#: Bytes of tokens in a block of a group: the least and the most that blocks are made for, and how many blocks a group has before they grow.
+LEAST_BLOCK, MOST_BLOCK, FEW_BLOCKS = 1 << 20, 16 << 20, 8
 #: Buckets of a set's outline, and the most that one can count.
 OUTLINE, MOST_COUNT = 256, 65535
-#: Identifiers that may be broadcast to pick out the texts of candidates; more are joined by shuffle.
+#: Rows of identifiers that may be broadcast, at some 60 bytes each; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20260723)
@@ -98,6 +103,11 @@ def _key(tokens: np.ndarray) -> int:
     return int(mix(np.array([x & _MASK], np.uint64)).view(np.int64)[0])
 
 
+def outline(tokens: np.ndarray) -> bytes:
+    """How many of a set's tokens fall into each of OUTLINE buckets, as 16-bit numbers."""
+    return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % OUTLINE, minlength=OUTLINE), MOST_COUNT).astype(np.uint16).tobytes()
+
+
 def prefix_size(n: int, t: Fraction) -> int:
     """How many first tokens a set enters: of so many, sets linked to it have one."""
     return n - -(-n * t.numerator // t.denominator) + 1
@@ -129,6 +139,16 @@ def _common_tokens(words: int):
     return run
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The first token in each of BINS equal ranges, cut to 32 bits; 0 for a range without tokens."""
+    edges = np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
+    at = np.searchsorted(tokens, edges)
+    some = at < np.r_[at[1:], len(tokens)]
+    out = np.zeros(BINS, np.uint64)
+    out[some] = tokens[at[some]] >> np.uint64(20)
+    return (out & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _sets(words: int, t: Fraction, sent):
     odd = _ODD[44 : 44 + MINIMA]
 
@@ -136,14 +156,16 @@ def _sets(words: int, t: Fraction, sent):
         common, weight = sent.value
         for batch in batches:
             sets = shingle_sets(batch.column(1), words)
-            keys, sizes, firsts, minima, outlines = [], [], [], [], []
+            keys, checks, sizes, firsts, minima, sketches, outlines = [], [], [], [], [], [], []
             for s in sets:
-                outlines.append(outline(s))
                 keys.append(_key(s))
+                checks.append(int(s.sum(keepdims=True, dtype=np.uint64).view(np.int64)[0]))
+                outlines.append(outline(s))
                 sizes.append(len(s))
                 if not len(s):
                     firsts.append([])
                     minima.append([])
+                    sketches.append([])
                     continue
                 order = s
                 if len(common):
@@ -151,48 +173,81 @@ def _sets(words: int, t: Fraction, sent):
                     order = s[np.lexsort((s, np.where(common[at] == s, weight[at], 0)))]
                 firsts.append(order[: prefix_size(len(s), t)].view(np.int64))
                 minima.append([int(mix(s * o).min().view(np.int64)) for o in odd])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int64())), pa.array(outlines, pa.binary()), batch.column(2)], names=["id", "sid", "n", "first", "minima", "outline", "text_key"])
+                sketches.append(sketch(s))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, longs), pa.array(minima, longs), pa.array(sketches, pa.list_(pa.int32())), pa.array(outlines, pa.binary()), batch.column(2)], names=["id", "sid", "check", "n", "first", "minima", "sketch", "outline", "text_key"])
 
     return run
 
 
-def outline(tokens: np.ndarray) -> bytes:
-    """How many of a set's tokens fall into each of OUTLINE buckets, as 16-bit numbers."""
-    return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % OUTLINE, minlength=OUTLINE), MOST_COUNT).astype(np.uint16).tobytes()
-
-
 def _could_link(t: Fraction):
     """Keeps the pairs whose outlines leave room for the threshold: sets share at most the lesser count in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             side = lambda k: np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(f"outline_{k}")).to_pylist()), np.uint16).reshape(-1, OUTLINE)
-            n = {k: batch.column(batch.schema.get_field_index(f"n_{k}")).to_numpy() for k in ("a", "b")}
-            most = np.minimum(side("a"), side("b")).sum(axis=1, dtype=np.int64) if len(batch) else np.zeros(0, np.int64)
-            keep = most * t.denominator >= t.numerator * (n["a"] + n["b"] - most)
+            n = {k: batch.column(batch.schema.get_field_index(f"n_{k}")).to_numpy() for k in ("g", "h")}
+            most = np.minimum(side("g"), side("h")).sum(axis=1, dtype=np.int64) if len(batch) else np.zeros(0, np.int64)
+            keep = most * t.denominator >= t.numerator * (n["g"] + n["h"] - most)
             # counts of larger sets may not fit
-            keep |= (n["a"] >= MOST_COUNT) | (n["b"] >= MOST_COUNT)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep |= (n["g"] >= MOST_COUNT) | (n["h"] >= MOST_COUNT)
+            yield batch.select(["g", "h"]).filter(pa.array(keep))
 
     return run
 
 
-def _verify(words: int, t: Fraction):
+def _tokens(words: int):
+    """The last column, a text, becomes the bytes of its sorted token hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for k in ("a", "b"):
-                ids, text = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index(f"text_{k}"))
-                _, first, back = np.unique(ids, return_index=True, return_inverse=True)
-                sets = shingle_sets(text.take(pa.array(first)), words)
-                sides.append((ids, sets, back))
-            (a, sets_a, back_a), (b, sets_b, back_b) = sides
-            linked = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = sets_a[back_a[i]], sets_b[back_b[i]]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = same * t.denominator >= t.numerator * (len(x) + len(y) - same) and same > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
+            sets = shingle_sets(batch.column(batch.num_columns - 1), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*batch.schema.names[:-1], "tokens"])
+
+    return run
+
+
+def linked_members(a: list[np.ndarray], b: list[np.ndarray], t: Fraction) -> Iterator[np.ndarray]:
+    """For each set of ``a``, the places in ``b`` of the sets that are linked with it; sets are sorted and not empty."""
+    size_b = np.array([len(s) for s in b])
+    flat = np.concatenate(b)
+    order = np.argsort(flat, kind="stable")
+    token, owner = flat[order], np.repeat(np.arange(len(b)), size_b)[order]
+    for s in a:
+        low = np.searchsorted(token, s, "left")
+        many = np.searchsorted(token, s, "right") - low
+        at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+        same = np.bincount(owner[at], minlength=len(b))
+        yield np.flatnonzero((same > 0) & (same * t.denominator >= t.numerator * (len(s) + size_b - same)))
+
+
+def _compare(t: Fraction):
+    """Of two blocks (sides 0 and 1; side 2 is in both) a row a member: its links with the other block and the least set that these links connect it to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, side = table.column("sid").to_numpy(), table.column("side").to_numpy()
+        # documents that repeat id and text give their set several times
+        _, first = np.unique(np.stack([sid, side]), axis=1, return_index=True)
+        first = np.sort(first)
+        sid, side = sid[first], side[first]
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").take(pa.array(first)).to_pylist()]
+        rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        links, root = np.zeros(len(sid), np.int64), np.arange(len(sid))
+        if len(rows) and len(cols):
+            for i, found in zip(rows, linked_members([sets[k] for k in rows], [sets[k] for k in cols], t), strict=True):
+                found = cols[found]
+                found = found[sid[found] != sid[i]]
+                if not len(found):
+                    continue
+                links[i] += len(found)
+                # a set on side 2 is a row and a column: each of its pairs comes twice, once from either end
+                links[found[side[found] == 1]] += 1
+                joined = np.unique(root[np.r_[i, found]])
+                if len(joined) > 1:
+                    root[np.isin(root, joined)] = joined[0]
+        least = np.full(len(sid), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, sid)
+        return pa.table({"sid": sid, "root": least[root], "links": links})
 
     return run
 
@@ -203,8 +258,8 @@ class JaccardJoin:
     A null text is empty; empty sets are linked with nothing. Documents with equal sets are linked and join as one
     set, whose identifier is a hash of it; ids may repeat or be null. ``result()`` has a row a document: id, text_key,
     n_shingles, component (an id of the component's sets), component_id (the component's least id; null if it has no
-    ids), first (whether it is the component's document to keep) and, if ``counted``, n_links (how many other sets its set
-    is linked with; documents with equal sets are one). ``one_of_each()`` keeps one document of each component.
+    ids), first (whether it is the component's document to keep) and n_links (how many other sets its set is linked with;
+    documents with equal sets are one). ``one_of_each()`` keeps one document of each component.
     """
 
     def __init__(self, docs: DataFrame, words: int = 5, threshold: Fraction | str = "0.8", id_col: str = "doc_id", text_col: str = "text"):
@@ -229,34 +284,17 @@ class JaccardJoin:
         order = np.argsort(token)
         return token[order], kept.many.to_numpy(np.int64)[order]
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of sets that are linked: first by their outlines, which rule most others out, then by their whole texts."""
-        pairs = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "jaccard-pairs")
-        ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        side = lambda df, k, *names: df.select(F.col("sid").alias(k), *[F.col(n).alias(f"{n}_{k}") for n in names])
-        both = lambda p, df, *names: p.join(side(df, "a", *names), "a").join(side(df, "b", *names), "b")
-        wanted = cut(ids(pairs), "jaccard-ids")
-        outlines = self.wide.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "sid", "left_semi")
-        pairs = cut(both(pairs, outlines, "n", "outline").mapInArrow(_could_link(self.t), "a long, b long").distinct(), "jaccard-pairs")
-        wanted = cut(self.reps.join(ids(pairs), "sid", "left_semi").select("sid", "text_key", F.col("id").alias("rep")), "jaccard-wanted")
-        known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        # a set's least id and the text's hash pick its text; rows that repeat both have one text
-        texts = self.docs.withColumn("text_key", self.text_key)
-        texts = cut(texts.join(known, (texts.text_key == wanted.text_key) & texts.id.eqNullSafe(F.col("rep"))).select("sid", "text"), "jaccard-texts")
-        return cut(both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.words, self.t), "a long, b long").distinct(), "jaccard-links")
-
-    def _entries(self, roots: DataFrame) -> DataFrame:
+    def _entries(self, groups: DataFrame) -> DataFrame:
         """The first tokens of each set: token, sid, n, rest (its tokens from this one on), root (of its group, if it has one)."""
         entries = self.wide.select("sid", "n", F.posexplode("first").alias("pos", "token")).select("token", "sid", "n", (F.col("n") - F.col("pos")).alias("rest"))
-        small = roots.count() <= BROADCAST_IDS
-        return entries.join(F.broadcast(roots) if small else roots, F.col("sid") == F.col("node"), "left").drop("node")
+        return entries.join(self._small(groups), F.col("sid") == F.col("node"), "left").drop("node")
 
-    def _matrix(self, roots: DataFrame) -> DataFrame:
-        """The token-group matrix: token, g, least and most (sizes), rest (the most tokens of a member from this one on), sid (the member with these)."""
-        entries = self._entries(roots)
-        alone = entries.filter("root IS NULL").select("token", F.col("sid").alias("g"), F.col("n").alias("least"), F.col("n").alias("most"), "rest", "sid")
-        held = entries.filter("root IS NOT NULL").groupBy("token", F.col("root").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.struct("rest", "sid")).alias("best"))
-        return alone.unionByName(held.select("token", "g", "least", "most", F.col("best.rest").alias("rest"), F.col("best.sid").alias("sid")))
+    def _matrix(self, groups: DataFrame) -> DataFrame:
+        """The token-group matrix: token, g, least and most (sizes), rest (the most tokens of a member from this one on), several (whether the group has several members)."""
+        entries = self._entries(groups)
+        alone = entries.filter("root IS NULL").select("token", F.col("sid").alias("g"), F.col("n").alias("least"), F.col("n").alias("most"), "rest", F.lit(False).alias("several"))
+        held = entries.filter("root IS NOT NULL").groupBy("token", F.col("root").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.lit(True).alias("several"))
+        return alone.unionByName(held)
 
     def _possible(self, x: str, y: str) -> Column:
         """Whether members of two rows of the matrix can be linked, their first common token being this one."""
@@ -265,62 +303,98 @@ class JaccardJoin:
         sizes = (c(x, "most") * q >= c(y, "least") * p) & (c(y, "most") * q >= c(x, "least") * p)
         return sizes & (F.least(c(x, "rest"), c(y, "rest")) * (p + q) >= (c(x, "least") + c(y, "least")) * p)
 
+    def _small(self, df: DataFrame) -> DataFrame:
+        """``df``, which ``cut`` wrote, to be broadcast if it has few rows."""
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    def _groups(self) -> DataFrame:
+        """node and root of the sets that are in a group with others."""
+        minima = self.wide.select("sid", "sketch", F.posexplode("minima").alias("i", "low"))
+        leaders = cut(minima.groupBy("i", "low").agg(F.min(F.struct("sid", "sketch")).alias("b"), F.max("sid").alias("top")).filter("b.sid <> top").select("i", "low", "b"), "jaccard-leaders")
+        some = lambda f: F.aggregate(F.zip_with(F.col("sketch"), F.col("b.sketch"), f), F.lit(0), lambda n, x: n + x.cast("int"))
+        alike = some(lambda x, y: (x == y) & (x != 0)) >= ALIKE * some(lambda x, y: (x != 0) | (y != 0))
+        edges = minima.join(self._small(leaders), ["i", "low"]).filter(alike).select(F.col("sid").alias("a"), F.col("b.sid").alias("b"))
+        groups = cut(connected_components(edges), "jaccard-groups")
+        discard(leaders)
+        return groups
+
     def run(self) -> JaccardJoin:
         sent = self.spark.sparkContext.broadcast(self._common())
-        schema = "id long, sid long, n long, first array<long>, minima array<long>, outline binary, text_key long"
+        schema = "id long, sid long, check long, n long, first array<long>, minima array<long>, sketch array<int>, outline binary, text_key long"
         self.sets = cut(self.docs.select("id", "text", self.text_key.alias("text_key")).mapInArrow(_sets(self.words, self.t, sent), schema), "jaccard-sets")
         # each set once, by its least id and that text; the arrays stay where they are
         name = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
-        self.reps = cut(self.sets.filter("n > 0").groupBy("sid").agg(F.min(name).alias("r"), F.first("n").alias("n")).select("sid", "n", F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key")), "jaccard-reps")
+        known = lambda: self.sets.filter("n > 0").groupBy("sid").agg(F.min(name).alias("r"), F.first("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"))
+        reps = cut(known(), "jaccard-reps")
+        clash = reps.filter("check <> most").select("sid", F.lit(True).alias("clash"))
+        if clash.limit(1).count():  # different sets of one hash: both hashes together name them
+            apart, old = self.sets.join(clash, "sid", "left").withColumn("sid", F.when(F.col("clash"), F.xxhash64("sid", "check")).otherwise(F.col("sid"))).drop("clash"), (self.sets, reps)
+            self.sets = cut(apart, "jaccard-sets")
+            reps = cut(known(), "jaccard-reps")
+            discard(*old)
+        self.reps = reps.select("sid", "n", F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key"))
         named = self.sets.filter("n > 0").select("sid", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "text_key").join(self.reps.select("sid", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("best"), F.col("text_key").alias("best_key")), "sid")
         copies = cut(named.filter("name <> best OR text_key <> best_key").select("sid", "name", "text_key").distinct(), "jaccard-copies")
-        side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-        self.wide = self.sets.filter("n > 0").withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(side, ["sid", "name", "text_key"], "left_anti")
-        # 1. groups of similar sets
-        minima = self.wide.select("sid", F.posexplode("minima").alias("i", "low"))
-        leaders = minima.groupBy("i", "low").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).filter("b <> top").drop("top")
-        edges = self._links(minima.join(leaders, ["i", "low"]).select(F.col("sid").alias("a"), "b"))
-        groups = cut(connected_components(edges), "jaccard-groups")
-        # 2. and 3. one pair for every two groups that could be linked
+        self.wide = self.sets.filter("n > 0").withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(self._small(copies), ["sid", "name", "text_key"], "left_anti")
+        groups = self._groups()
+        # which groups must be opened for each other
         matrix = self._matrix(groups)
         two = matrix.alias("x").join(matrix.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & self._possible("x", "y"))
-        pair = F.struct(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-        two = cut(two.select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), pair.alias("pair")).groupBy("g", "h").agg(F.min("pair").alias("pair")), "jaccard-two")
-        edges = cut(edges.unionByName(self._links(two.select("pair.a", "pair.b"))).distinct(), "jaccard-edges")
-        roots = cut(connected_components(edges), "jaccard-roots")
-        # groups of several that are still apart are opened whole; two single sets have been compared already
-        root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
-        several = groups.select(F.col("root").alias("g")).distinct().withColumn("many", F.lit(True))
-        apart = two.select("g", "h").join(root("g"), "g", "left").join(root("h"), "h", "left").filter(F.coalesce("g_root", "g") != F.coalesce("h_root", "h"))
-        apart = apart.join(several, "g", "left").join(several.select(F.col("g").alias("h"), F.col("many").alias("many_h")), "h", "left")
-        open_ = cut(apart.filter("many OR many_h").select("g", "h"), "jaccard-open")
-        if open_.limit(1).count():
-            touched = open_.select(F.explode(F.array("g", "h")).alias("g")).distinct()
-            entries = self._entries(groups).withColumn("g", F.coalesce("root", "sid")).join(touched, "g", "left_semi")
-            entries = entries.select("token", "g", "sid", F.col("n").alias("least"), F.col("n").alias("most"), "rest")
-            pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & self._possible("x", "y"))
-            pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct().join(open_, ["g", "h"], "left_semi")
-            edges = cut(edges.unionByName(self._links(pairs.select("a", "b"))).distinct(), "jaccard-edges")
-            roots = cut(connected_components(edges), "jaccard-roots")
-        self.edges, self.roots = edges, roots
+        two = cut(two.select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), (F.col("x.several") | F.col("y.several")).alias("several")).distinct(), "jaccard-two")
+        open_ = cut(two.filter("several").select("g", "h").unionByName(self._outlined(two.filter("NOT several").select("g", "h"))), "jaccard-open")
+        found = self._open(groups, open_)
+        edges = found.filter("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+        self.roots = cut(connected_components(edges), "jaccard-roots")
+        self.links = cut(found.groupBy("sid").agg(F.sum("links").alias("n_links")).filter("n_links > 0"), "jaccard-counts")
+        discard(copies, groups, two, open_, found)
         return self
 
-    def all_links(self) -> DataFrame:
-        """All linked pairs (a, b) of sets, those within groups and components too: every two that share an entered token and pass the bound there are compared."""
-        entries = self.wide.select("sid", "n", F.posexplode("first").alias("pos", "token"))
-        entries = cut(entries.select("token", "sid", F.col("n").alias("least"), F.col("n").alias("most"), (F.col("n") - F.col("pos")).alias("rest")), "jaccard-entries")
-        pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & self._possible("x", "y"))
-        return self._links(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+    def _outlined(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (g, h) of single sets that their outlines do not rule out."""
+        ids = cut(pairs.select("g").unionByName(pairs.select(F.col("h").alias("g"))).distinct().withColumnRenamed("g", "sid"), "jaccard-ids")
+        outlines = cut(self.wide.join(self._small(ids), "sid", "left_semi").select("sid", "n", "outline").dropDuplicates(["sid"]), "jaccard-outlines")
+        side = lambda k: outlines.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("outline").alias(f"outline_{k}"))
+        return pairs.join(side("g"), "g").join(side("h"), "h").mapInArrow(_could_link(self.t), "g long, h long")
+
+    def _open(self, groups: DataFrame, two: DataFrame) -> DataFrame:
+        """All comparisons: within each group, and of the smaller with the larger group of ``two``. A row a member and task: sid, root, links."""
+        alone = F.coalesce("root", "sid").alias("g")
+        held = self.reps.select("sid", (F.col("n") * 8).alias("bytes")).join(self._small(groups), F.col("sid") == F.col("node"), "left").select("sid", "bytes", alone, F.col("root").isNotNull().alias("several"))
+        touched = two.select(F.col("g")).unionByName(two.select(F.col("h").alias("g"))).distinct().withColumn("touched", F.lit(True))
+        held = cut(held.join(touched, "g", "left").filter("several OR touched").select("sid", "bytes", "g", "several"), "jaccard-held")
+        blocks = F.greatest(F.ceil(F.col("bytes") / MOST_BLOCK), F.least(F.ceil(F.col("bytes") / LEAST_BLOCK), F.lit(FEW_BLOCKS))).cast("int")
+        sizes = cut(held.groupBy("g").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("many")).withColumn("blocks", blocks), "jaccard-sizes")
+        small = self._small(sizes)
+        block = lambda of: F.pmod(F.xxhash64("sid"), F.col(of)).cast("int")
+        within = held.filter("several").join(small, "g").filter("many > 1").select("sid", "g", block("blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+        within = within.select("sid", F.lit(-1).cast("long").alias("g2"), "g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") == F.col("y"), 2).when(F.col("x") < F.col("y"), 0).otherwise(1).alias("side"))
+        # (the larger group, the smaller one); all smaller ones of a group are its queries together
+        size = lambda k: small.select(F.col("g").alias(k), F.struct(F.col("many"), F.col("g").alias("id")).alias(f"{k}_size"))
+        pairs = two.join(size("g"), "g").join(size("h"), "h")
+        pairs = pairs.select(F.when(F.col("g_size") > F.col("h_size"), F.col("g")).otherwise(F.col("h")).alias("large"), F.when(F.col("g_size") > F.col("h_size"), F.col("h")).otherwise(F.col("g")).alias("g"))
+        queries = pairs.join(held, "g").select("large", "sid", "bytes")
+        asked = cut(queries.groupBy("large").agg(F.sum("bytes").alias("bytes")).withColumn("parts", blocks).select("large", "parts"), "jaccard-asked")
+        several = self._small(asked)
+        of = sizes.select(F.col("g").alias("large"), "blocks")
+        of = F.broadcast(of) if small is not sizes else of
+        queries = queries.join(several, "large").join(of, "large").select("sid", F.lit(0).cast("long").alias("g2"), F.col("large").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), block("parts").alias("j"), F.lit(0).alias("side"))
+        answers = held.join(several.withColumnRenamed("large", "g"), "g").join(small.select("g", "blocks"), "g").select("sid", F.lit(0).cast("long").alias("g2"), "g", block("blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(1).alias("side"))
+        dealt = cut(within.unionByName(queries).unionByName(answers), "jaccard-dealt")
+        # a set's least id and the text's hash pick its text; rows that repeat both have one text
+        wanted = cut(self.reps.join(dealt.select("sid").distinct(), "sid", "left_semi").select("sid", "text_key", F.col("id").alias("rep")), "jaccard-wanted")
+        texts = self.docs.withColumn("text_key", self.text_key)
+        texts = texts.join(self._small(wanted), (texts.text_key == wanted.text_key) & texts.id.eqNullSafe(F.col("rep"))).select("sid", "text")
+        tokens = texts.mapInArrow(_tokens(self.words), "sid long, tokens binary")
+        found = cut(tokens.join(self._small(dealt), "sid").groupBy("g2", "g", "i", "j").applyInArrow(_compare(self.t), "sid long, root long, links long"), "jaccard-found")
+        discard(held, sizes, asked, dealt, wanted)
+        return found
 
-    def result(self, counted: bool = False) -> DataFrame:
+    def result(self) -> DataFrame:
         name = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
         by_set = self.reps.join(self.roots, self.reps.sid == self.roots.node, "left").select("sid", name.alias("name"), F.coalesce("root", "sid").alias("component"))
-        least = by_set.groupBy("component").agg(F.min("name").alias("least"))
-        found = by_set.join(least, "component").select("sid", "component", "least")
-        if counted:
-            links = self.all_links().select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-            found = found.join(links, "sid", "left")
-        found = cut(found, "jaccard-found")
+        least = cut(by_set.groupBy("component").agg(F.min("name").alias("least")), "jaccard-least")
+        found = cut(by_set.join(least, "component").select("sid", "component", "least").join(self.links, "sid", "left"), "jaccard-by-set")
+        discard(least)
         out = self.sets.select("id", "n", "sid", "text_key").join(found, "sid", "left")
         empty = F.col("n") == 0
         return out.select(
@@ -328,7 +402,7 @@ class JaccardJoin:
             F.when(~empty, F.col("component")).alias("component"),
             F.when(empty, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
             (empty | (name == F.col("least"))).alias("first"),
-            *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
 
     def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,4 +422,4 @@ class JaccardJoin:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = JaccardJoin(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, threshold="0.85").run()
-    return join.result(counted=True).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    return join.result().select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
