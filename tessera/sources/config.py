@@ -12,11 +12,11 @@ MOST_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class GenerationConfig:
-    scene_names: tuple[str, ...]
-    campaign_id: str
     config_version: int = 1
     adapter: str = "ai2thor"
+    scene_names: tuple[str, ...] = ()
     split: str = "train"
+    campaign_id: str = ""
     seed: int = 20260723
     width: int = 640
     height: int = 480
