@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -456,6 +457,36 @@ def test_html_keeps_long_nested_articles_whole(n):
     assert text.startswith("Head\n\nParagraph 0") and text.endswith("Said")
 
 
+def test_html_keeps_article_parts_by_any_name():
+    assert html_text.main_text('<article><section class="reviews"><p>Our review</section></article>') == "Our review"
+    assert html_text.main_text('<article><p>x y z</p><div class="side-effects"><p>Nausea</p></div><div class="post-tags"><a>t</a></div></article>') == "x y z\n\nNausea"
+    assert html_text.main_text("<article><p>Body <label>word</label> end.</p></article>") == "Body word end."
+    assert html_text.main_text('<article><p>See <a href="x>link</a> here</p><p class="y">more</p></article>') == "See link here\n\nmore"
+    assert html_text.main_text("<body><div><span>Only <b>inline</b></span></div></body>") == "Only inline"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "deep", "<a href=\"" * 8000, "<a href=\"" * 8000 + ">", "<span>" * 8000 + "x" + "<hr>" * 8000, "<div>" * 8000 + "</x>" * 8000, "<a x='" * 8000 + '"' * 8000, "<blockquote>a, b" * 8000])
+def test_html_takes_time_in_proportion(page):
+    begin = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - begin < 3
+
+
+def test_html_against_plain_pages():
+    """Pages made of an article and what stands around it, whose text is known."""
+    r = random.Random(21)
+    for _ in range(60):
+        blocks = [prose(r.randint(3, 40)) for _ in range(r.randint(1, 9))]
+        tags = ["p", "h2", "blockquote", "pre", "li", "div"]
+        inner = "".join(f"<{t}>{r.choice(['', '<b>', '<i class=x>'])}{b}</{t}>" if t != "li" else f"<ul><li>{b}</ul>" for t, b in ((r.choice(tags), b) for b in blocks))
+        wrap = r.choice(["<article>{}</article>", "<main>{}</main>", "<article><div class=body>{}</div></article>"])
+        around = [f"<nav><ul><li><a href=/>{prose(2)}</a></ul></nav>", f"<div class='{r.choice(['ad', 'ad-box', 'sidebar', 'related'])}'>{prose(12)}</div>", f"<aside><p>{prose(20)}</aside>", f"<form><input><p>{prose(4)}</form>", f"<footer>&copy; {prose(9)}</footer>", f"<section id=comments><p>{prose(30)}</section>", f"<script>{prose(9)} <p></script>"]
+        r.shuffle(around)
+        k = r.randint(0, len(around))
+        page = f"<!doctype html><html><head><title>{prose(3)}</title></head><body>{''.join(around[:k])}{wrap.format(inner)}{''.join(around[k:])}</body></html>"
+        assert html_text.main_text(page) == "\n\n".join(blocks)
+
+
 def test_html_query(spark, world):
     out = html_text.op3_html_extraction(spark, world[0]).toPandas()
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in out.itertuples()}
