@@ -15,18 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import IS_SPACE, LOWER_BYTES, bytes_of, pieces, small_batches
 
-#: Labelled documents that the model is fitted on at most, in order of a hash of their id.
-TRAIN_ROWS = 4000
+#: Labelled documents that the model is fitted on at most, in order of a hash of their id, and bytes of their texts; a longer text than a sixteenth of these is not fitted on.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 48 << 20
 #: N-gram lengths in bytes, rows of the table as a power of two, numbers a row.
 GRAMS, BITS, WIDTH = (3, 4, 5, 6), 18, 8
 EPOCHS, RATE, SEED = 7, 0.3, 7
 #: Zero vectors that count in every average, so that a text of a few words is not judged by one n-gram; documents that an n-gram must be in; a common factor of all averages.
 PADDING, LEAST_DOCS, SCALE = 300, 4, 100.0
 #: Bytes that are hashed at a time.
-PIECE, TRAIN_PIECE = 2 << 20, 1 << 17
+PIECE, TRAIN_PIECE = 1 << 18, 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,32 +59,32 @@ def grams(clean: np.ndarray, begin: int, end: int) -> Iterator[tuple[np.ndarray,
 
 def _bags(clean: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The rows' distinct known table rows one after the other, their shares of the row's average, where each row's begin, and which are known."""
-    found_all, many_all, sizes, mask = [], [], [], (1 << BITS) - 1
+    parts, mask = [], (1 << BITS) - 1
+    docs_with = np.zeros(1 << BITS, np.int32)
     for i, j in pieces(starts, TRAIN_PIECE):
         keys = []
         for p in range(int(starts[i]), int(starts[j]), PIECE):
             for at, rows in grams(clean, p, min(int(starts[j]), p + PIECE)):
                 keys.append((np.searchsorted(starts[i : j + 1], at + p, side="right") - 1) << BITS | rows)
         found, many = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        sizes.append(np.bincount(found >> BITS, minlength=j - i))
-        found_all.append((found & mask).astype(np.int32))
-        many_all.append(many.astype(np.float32))
-    total = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), m, len(n)) for n, m in zip(sizes, many_all, strict=True)]) if sizes else np.zeros(0)
-    docs_with = np.zeros(1 << BITS, np.int64)
-    for found in found_all:
-        docs_with += np.bincount(found, minlength=1 << BITS)
-    known, row = docs_with >= LEAST_DOCS, 0
-    for k, (found, many, n) in enumerate(zip(found_all, many_all, sizes, strict=True)):
-        keep, factor = known[found], (SCALE / (PADDING + total[row : row + len(n)])).astype(np.float32)
-        row += len(n)
-        owner = np.repeat(np.arange(len(n)), n)[keep]
-        found_all[k], many_all[k], sizes[k] = found[keep], many[keep] * factor[owner], np.bincount(owner, minlength=len(n))
-    begin = np.concatenate([[0], *map(np.cumsum, [np.concatenate(sizes)])]) if sizes else np.zeros(1, np.int64)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(found_all, np.int32), join(many_all, np.float32), begin, known
-
-
-def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+        owner, rows = found >> BITS, (found & mask).astype(np.int32)
+        factor = SCALE / (PADDING + np.bincount(owner, many, j - i))
+        docs_with += np.bincount(rows, minlength=1 << BITS).astype(np.int32)
+        parts.append((rows, (many * factor[owner]).astype(np.float32), np.bincount(owner, minlength=j - i)))
+    known = docs_with >= LEAST_DOCS
+    for k, (rows, share, sizes) in enumerate(parts):
+        keep = known[rows]
+        parts[k] = rows[keep], share[keep], np.diff(np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(sizes)]])
+    begin = np.cumsum(np.concatenate([[0], *(sizes for _, _, sizes in parts)]))
+    found, shares = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+    at = 0
+    for rows, share, _ in parts:
+        found[at : at + len(rows)], shares[at : at + len(rows)] = rows, share
+        at += len(rows)
+    return found, shares, begin, known
+
+
+def fit(texts: list[str] | pa.ChunkedArray, toxic: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Learns table and softmax by stochastic gradient descent over documents in a seeded order.
 
     N-grams of fewer than ``LEAST_DOCS`` documents keep a zero vector. Without both labels the model is a constant.
@@ -91,7 +92,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, rate: float =
     y = np.array(toxic, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 4.0 if len(y) and y[0] else -4.0)
-    found, share, begin, known = _bags(*_clean(*bytes_of(pa.array(texts, pa.string()))))
+    found, share, begin, known = _bags(*_clean(*bytes_of(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     vectors[~known] = 0
@@ -135,17 +136,40 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most ``train_rows`` labelled rows that are not held out, in order of a hash of the id; of several labels of an id the largest counts."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
+def _fit_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows (id, text, toxic) make one row: the model's table and bias."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("text", pa.string()), ("toxic", pa.int64())]))
+    table = table.sort_by("id")
+    model = fit(table.column("text"), table.column("toxic").to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["table", "bias"])
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits on labelled rows that are not held out, in order of a hash of the id: at most ``train_rows`` of them and ``train_bytes`` bytes of text.
+
+    Null ids and labels are left out, a null text is empty, of several labels of an id the largest counts, and of
+    several texts of an id the longest, then the greatest. Without such rows, or if their labels agree, the model is a
+    constant. One executor task reads the sample and fits; the driver gets the model, whose size is fixed, and no text.
+    """
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("long").alias("toxic"))
     chosen = known.filter(~held_out("id")).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.groupBy("id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("id").collect()
-    return fit([r.text or "" for r in got], [int(r.toxic) for r in got])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.octet_length("text") <= train_bytes // 16).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.max(F.struct(F.octet_length("text").alias("bytes"), "text")).alias("best"), F.max("toxic").alias("toxic"))
+    # the sample has at most train_rows rows, so one window sees it whole
+    before = F.sum("best.bytes").over(Window.orderBy(F.xxhash64(F.lit(SEED), "id"), "id"))
+    rows = rows.withColumn("upto", before).filter(F.col("upto") <= train_bytes).select(F.col("id").cast("string").alias("id"), "best.text", "toxic")
+    got = rows.repartition(1).mapInArrow(_fit_once, "table binary, bias double").first()
+    return Model(np.frombuffer(got.table, np.float32), got.bias)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score added. Rows are independent; the model has a fixed size and goes to the executors once."""
+    """``docs`` with the score added, in place of a column of that name.
+
+    Null and empty texts have the score of the model's bias alone. Rows are independent, so rows that repeat have one
+    score each, an empty table gives no rows, and other columns stay as they are; the model has a fixed size and goes
+    to the executors once.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -157,6 +181,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_c
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, held_out (also where the id is null), score, predicted; null and empty texts included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_documents(docs, model)
