@@ -149,18 +149,19 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("__size", ignore_index=True)
-    size, target = int(group.source_size[0]), float(group.target[0])
+    size, target = int(group["__source_size"][0]), float(group["__target"][0])
     whole = min(MOST, int(target // size)) if size else 1
     rest = round(target - whole * size) if whole < MOST else 0
-    return group.assign(whole=whole, extra=fit_budget(group["__size"].to_numpy(), group["__n"].to_numpy(), rest))
+    return group.assign(__whole=whole, __extra=fit_budget(group["__size"].to_numpy(), group["__n"].to_numpy(), rest))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` with id, skey (the source), h (a seeded hash of id and text) and size (words) added."""
+    """__id, __skey (the source), __h (a seeded hash of id and text) and __size (words); the columns ``keep`` as one, __row, so that no name can clash."""
     small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     h = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.coalesce(text, F.lit("")))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("__id"), source_key(F.col(f"`{source_col}`")).alias("__skey"), h.alias("__h"), text.alias("__size"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")] if keep else []
+    rows = docs.select(*row, F.col(f"`{id_col}`").alias("__id"), source_key(F.col(f"`{source_col}`")).alias("__skey"), h.alias("__h"), text.alias("__size"))
     schema = StructType([*rows.schema.fields[:-1], StructField("__size", LongType())])
     return rows.mapInArrow(count_words, schema)
 
@@ -175,15 +176,15 @@ def plan_mix(sizes: DataFrame) -> DataFrame:
     hist = cut(sizes.groupBy("__skey", "__size").agg(F.count("*").alias("__n")), "mix-lengths")
     totals = {r[0]: int(r[1]) for r in hist.groupBy("__skey").agg(F.sum(F.col("__size") * F.col("__n"))).collect()}
     targets = share_targets(totals)
-    frame = spark.createDataFrame([(k, totals[k], t) for k, t in targets.items()], "__skey string, source_size long, target double")
-    plan = cut(hist.join(F.broadcast(frame), "__skey").groupBy("__skey").applyInPandas(_fit, "__skey string, __size long, __n long, source_size long, target double, whole long, extra long"), "mix-plan")
+    frame = spark.createDataFrame([(k, totals[k], t) for k, t in targets.items()], "__skey string, __source_size long, __target double")
+    plan = cut(hist.join(F.broadcast(frame), "__skey").groupBy("__skey").applyInPandas(_fit, "__skey string, __size long, __n long, __source_size long, __target double, __whole long, __extra long"), "mix-plan")
     group = ["__skey", "__size"]
-    rows = sizes.select(*group, "__h").join(plan.filter("extra > 0").select(*group, "__n", "extra"), group).withColumn("split", _split())
-    counted = rows.groupBy(*group, "split").agg(F.count("*").alias("here"), F.first("extra").alias("extra"))
+    rows = sizes.select(*group, "__h").join(plan.filter("__extra > 0").select(*group, "__n", "__extra"), group).withColumn("split", _split())
+    counted = rows.groupBy(*group, "split").agg(F.count("*").alias("here"), F.first("__extra").alias("extra"))
     counted = counted.withColumn("upto", F.sum("here").over(Window.partitionBy(*group).orderBy("split")))
     edge = counted.filter("upto >= extra AND upto - here < extra").select(*group, "split", (F.col("extra") - F.col("upto") + F.col("here")).alias("need"))
     ranked = rows.join(edge, [*group, "split"]).withColumn("rank", F.row_number().over(Window.partitionBy(*group, "split").orderBy("__h")))
-    edge = ranked.filter("rank = need").select(*group, F.col("split").alias("last_split"), F.col("__h").alias("last_h"))
+    edge = ranked.filter("rank = need").select(*group, F.col("split").alias("__last_split"), F.col("__h").alias("__last_h"))
     return cut(plan.join(edge, group, "left"), "mix-bounds")
 
 
@@ -192,11 +193,11 @@ def _split() -> Column:
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (as of ``sized``) with source_size, target and copies added. The plan, whose size depends on the number of sources and lengths alone, is broadcast if it is small."""
+    """``rows`` (as of ``sized``) with __source_size, __target and __copies added. The plan, whose size depends on the number of sources and lengths alone, is broadcast if it is small."""
     small = plan.count() <= BROADCAST_PLAN
     joined = rows.join(F.broadcast(plan) if small else plan, ["__skey", "__size"])
-    one = (_split() < F.col("last_split")) | ((_split() == F.col("last_split")) & (F.col("__h") <= F.col("last_h")))
-    return joined.withColumn("copies", F.col("whole") + F.coalesce(one.cast("long"), F.lit(0)))
+    one = (_split() < F.col("__last_split")) | ((_split() == F.col("__last_split")) & (F.col("__h") <= F.col("__last_h")))
+    return joined.withColumn("__copies", F.col("__whole") + F.coalesce(one.cast("long"), F.lit(0)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -207,14 +208,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     sizes = cut(sized(docs, id_col, source_col, text_col, seed=seed), "mix-sizes")
     out = apply_mix(sizes, plan_mix(sizes))
-    return out.select(F.col("__id").alias("id"), F.col("__skey").alias("skey"), F.col("__size").alias("size"), "source_size", "target", "copies")
+    return out.select(F.col("__id").alias("id"), F.col("__skey").alias("skey"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them. The texts are not shuffled."""
+    """The rows of ``docs`` that the mix takes, as often as it takes them, with the columns of ``docs`` whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables are as in ``mix``. The texts are not shuffled.
+    """
     sizes = cut(sized(docs, id_col, source_col, text_col, seed=seed), "mix-sizes")
-    taken = apply_mix(sized(docs, id_col, source_col, text_col, tuple(docs.columns), seed), plan_mix(sizes)).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = apply_mix(sized(docs, id_col, source_col, text_col, tuple(docs.columns), seed), plan_mix(sizes)).filter("__copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("__row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def documents() -> pd.DataFrame:
     d["lang"] = [None if k % 7 == 0 else "en" for k in range(len(d))]
     d["n_chars"] = [None if t is None else len(t) for t in d.text]
     # names that operators use themselves
-    for name in ("id", "size", "slot", "shard", "score", "n", "text_key", "sid"):
+    for name in ("id", "size", "slot", "shard", "score", "n", "text_key", "sid", "target", "whole", "copies", "source_size", "extra", "last_split", "last_h", "g", "root", "tokens", "toxic"):
         d[name] = "x"
     return d, item
 
@@ -204,6 +204,14 @@ def test_long_documents_are_fitted_too():
             assert abs(int(take @ lengths) - budget) == min(abs(x - budget) for x in reach)
 
 
+def test_mixed_documents_keep_columns_that_clash(spark):
+    names = ("doc_id", "source", "text", "target", "whole", "copies", "source_size", "extra", "last_split", "last_h", "__row_", "size")
+    rows = [(k, f"s{k % 2}", prose(5 + k % 7), *[f"{n}{k}" for n in names[3:]]) for k in range(40)]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, list(names)))
+    assert out.columns == list(names)
+    assert {tuple(x) for x in out.collect()} <= set(rows)
+
+
 def test_targets_are_capped_and_shared():
     t = mixing.share_targets({"sa": 10, "sb": 1000, "sc": 1000, "n": 0})
     assert t["sa"] == 30 and t["n"] == 0 and abs(sum(t.values()) - 2010) < 1e-9 and all(t[k] <= 3 * v for k, v in {"sb": 1000, "sc": 1000}.items())
@@ -305,6 +313,55 @@ def test_toxicity_finds_unseen_misspellings():
     assert 0 <= toxicity.score(pa.array([None, ""]), model).min()
 
 
+def test_toxicity_equals_a_plain_fit():
+    """The flat-array fit against dictionaries and loops, on the same seeded start and order."""
+    r = random.Random(17)
+    y = [int(r.random() < 0.4) for _ in range(40)]
+    texts = [" ".join(r.choice(["grumblor", "VileThug"] if t and r.random() < 0.3 else VOCAB[:60]) for _ in range(r.randint(3, 30))) for t in y]
+    model = toxicity.fit(texts, y, epochs=2)
+
+    def bag(text):
+        b = b" " + re.sub("[A-Z]+", lambda m: m[0].lower(), text).encode() + b" " * 9
+        found = {}
+        for k, n in enumerate(toxicity.GRAMS):
+            for i in range(len(b) - 8):
+                if 32 not in b[i + 1 : i + n - 1]:
+                    row = ((int.from_bytes(b[i : i + n], "little") + k) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.BITS)
+                    found[row] = found.get(row, 0) + 1
+        return found
+
+    bags = [bag(t) for t in texts]
+    known = {k for b in bags for k in b if sum(k in x for x in bags) >= toxicity.LEAST_DOCS}
+    g = np.random.default_rng(toxicity.SEED)
+    vectors = g.uniform(-1 / toxicity.WIDTH, 1 / toxicity.WIDTH, (1 << toxicity.BITS, toxicity.WIDTH)).astype(np.float32)
+    out, bias = g.normal(0, 0.5, (toxicity.WIDTH, 2)).astype(np.float32), np.zeros(2)
+    for epoch in range(2):
+        step = toxicity.RATE * (1 - epoch / 2)
+        for i in g.permutation(len(y)):
+            share = {k: n * toxicity.SCALE / (toxicity.PADDING + sum(bags[i].values())) for k, n in bags[i].items() if k in known}
+            mean = sum((x * vectors[k] for k, x in share.items()), np.zeros(toxicity.WIDTH))
+            z = mean @ out + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            p[y[i]] -= 1
+            back = out @ p
+            out = out - 0.02 * step * np.outer(mean, p)
+            bias = bias - 0.1 * step * p
+            for k, x in share.items():
+                vectors[k] -= step * x * back
+    fold = {k: toxicity.SCALE * float(vectors[k] @ (out[:, 1] - out[:, 0])) for k in known}
+    plain = [1 / (1 + np.exp(-(bias[1] - bias[0] + sum(fold.get(k, 0) * n for k, n in b.items()) / (toxicity.PADDING + sum(b.values()))))) for b in bags]
+    assert np.allclose(toxicity.score(pa.array(texts), model), plain, atol=2e-3)
+
+
+def test_toxicity_trains_within_its_bounds(spark):
+    texts = [(k, prose(60) + (" grumblor vilethug" * 4 if k % 2 else "")) for k in range(60)] + [(60, "x" * 40_000), (61, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    assert whole.table.any() and not toxicity.train(docs, labels, train_bytes=100).table.any()
+    assert np.array_equal(whole.table, toxicity.train(docs.repartition(5), labels).table)
+
+
 def test_toxicity_query(spark, world):
     out = toxicity.op7_toxicity(spark, world[0]).toPandas()
     assert len(out) == len(world[2]) and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.5)).all()
