@@ -7,8 +7,9 @@ at a word, and of the windows at every word of every document, by several walks;
 item-sized window of the document, at the place where the item would start. The exact edit distance between the
 candidate and the item decides.
 
-The windows of a document are walked together, and those whose first sampled bytes are those of no item are let go
-before the walk's end, which changes no key.
+The walk reads classes of bytes (each letter is its own), so that three steps are one look into a table, and one of
+each three steps is sampled. The windows of a document are walked together, and those whose first sampled bytes are
+those of no item are let go before the walk's end, which changes no key.
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import IS_SPACE, LOWER_BYTES, bytes_of, pieces, small_batches
+from .common import IS_SPACE, LOWER_BYTES, bytes_of, cut, discard, pieces, small_batches
 
 #: Edits that a copy may have, as a share of the item's bytes.
 MOST_EDITS = 0.2
-#: By the bytes that an item has less than: steps of a walk, bytes sampled of it, walks.
-PLANS = ((150, 32, 11, 16), (float("inf"), 40, 13, 10))
+#: By the bytes that an item has less than: steps of a walk, a third of which are sampled, and walks.
+PLANS = ((150, 33, 16), (float("inf"), 39, 10))
 STEPS, SEED = max(p[1] for p in PLANS), 20260723
 #: After how many sampled bytes windows are let go, and bits of the tables for it.
-SIEVES, SIEVE_BITS = (5, 7), 20
+SIEVES, SIEVE_BITS = (3, 5, 7), 20
+#: Classes of bytes: white space, the letters, and four for all other bytes.
+CLASS = np.array([0 if c == 32 else c - 96 if 97 <= c <= 122 else 27 + c % 4 for c in range(256)], np.uint16)
+#: The class of what lies beyond a window, which no byte has; pairs of windows and chunks that are compared at a time.
+BEYOND, PAIRS = 31, 2048
 #: Items that are searched for at once; more are searched for in blocks.
 BLOCK = 20_000
 WINDOWS, PIECE = 1 << 15, 4 << 20
@@ -52,17 +57,15 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, begins, np.flatnonzero(word)
 
 
-def plan_for(size: int) -> tuple[int, int, int]:
-    """Steps, bytes sampled and walks for an item of so many bytes; of items shorter than a walk has steps, as many steps as the power of two that they hold."""
-    steps, sampled, walks = next(p for most, *p in PLANS if size < most)
-    steps = min(steps, 1 << (size.bit_length() - 1))
-    return steps, min(sampled, steps), walks
+def plan_for(size: int) -> tuple[int, int]:
+    """Steps and walks for an item of so many bytes; items shorter than a walk has steps have as many steps as threes fit in."""
+    steps, walks = next(p for most, *p in PLANS if size < most)
+    return min(steps, max(3, size // 3 * 3)), walks
 
 
 @dataclass(frozen=True)
 class Walk:
-    coins: np.ndarray  # by step and byte: how far the pointer moves
-    sampled: np.ndarray  # steps
+    tables: np.ndarray  # by three steps and the classes of three bytes: how far the pointer moves, plus four times the class sampled
     sieves: dict[int, np.ndarray]  # by number of sampled bytes: which hashes of them lead to a key
     keys: np.ndarray  # sorted
     item: np.ndarray  # of each key
@@ -74,35 +77,51 @@ class Index:
     items: tuple[bytes, ...]
     ids: tuple[int, ...]
     walks: tuple[Walk, ...]
-    grams: tuple[np.ndarray, ...]  # of each item, the hashes of its runs of three bytes
+    chunk: np.ndarray  # the first chunk of each item, and one more
+    masks: np.ndarray  # of each chunk of 64 bytes (an item's last may have fewer), by class, which of its bytes have it
+    last: np.ndarray  # of each chunk, the bit of its last byte
 
 
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code * _ODD) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
 
-def three_grams(text: np.ndarray) -> np.ndarray:
-    """A 16-bit hash of the three bytes at each place."""
-    t = text.astype(np.uint32)
-    return ((t[:-2] | t[1:-1] << np.uint32(8) | t[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-
-
-def run_walk(text: np.ndarray, at: np.ndarray, coins: np.ndarray, sampled: np.ndarray, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """The windows (indexes into ``at``) that pass the sieves, their keys, and all codes at the sieves. ``text`` must go on for a walk's steps."""
-    p, which, code, taken, codes = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), 0, {}
-    for j in range(int(sampled[-1]) + 1):
-        c = text[p]
-        if j == sampled[taken]:
-            code = code * _PRIME + c + np.uint64(1)
-            taken += 1
-            if taken in SIEVES:
-                codes[taken] = code
-                if taken in sieves:
-                    stay = np.flatnonzero(sieves[taken][_slot(code)])
-                    p, which, code, c = p[stay], which[stay], code[stay], c[stay]
-                    if not len(p):
-                        break
-        p += coins[j][c]
+def step_tables(coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """One table for each three steps. ``coins`` tells by step and class whether the pointer moves, ``sampled`` which of the three steps writes."""
+    three = np.arange(1 << 15)
+    out = np.zeros((len(sampled), 1 << 15), np.uint8)
+    for k, which in enumerate(sampled):
+        moved = np.zeros(1 << 15, np.int64)
+        for r in range(3):
+            here = (three >> (5 * moved)) & 31
+            if r == which:
+                out[k] += (here << 2).astype(np.uint8)
+            moved += coins[3 * k + r][here]
+        out[k] += moved.astype(np.uint8)
+    return out
+
+
+def in_threes(text: np.ndarray) -> np.ndarray:
+    """The classes of the three bytes at each place but the last two, five bits each."""
+    c = CLASS[text]
+    return c[:-2] | c[1:-1] << np.uint16(5) | c[2:] << np.uint16(10)
+
+
+def run_walk(threes: np.ndarray, at: np.ndarray, tables: np.ndarray, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The windows (indexes into ``at``) that pass the sieves, their keys, and all codes at the sieves. ``threes`` must go on for a walk's steps."""
+    p, which, code, codes = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), {}
+    for taken, table in enumerate(tables, 1):
+        told = table.take(threes.take(p))
+        p += told & 3
+        code *= _PRIME
+        code += told >> 2
+        if taken in SIEVES:
+            codes[taken] = code.copy()
+            if taken in sieves:
+                stay = np.flatnonzero(sieves[taken].take(_slot(code)))
+                p, which, code = p[stay], which[stay], code[stay]
+                if not len(p):
+                    break
     return which, code, codes
 
 
@@ -111,10 +130,10 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     kept = [(i, b) for i, t in items if t and (b := bytes(normalise(*bytes_of(pa.array([t])))[0]).strip())]
     texts, ids = tuple(b for _, b in kept), tuple(i for i, _ in kept)
     walks = []
-    for steps, many, count in sorted({plan_for(len(b)) for b in texts}):
+    for steps, count in sorted({plan_for(len(b)) for b in texts}):
         rng = np.random.default_rng([SEED, steps])
-        here = [k for k, b in enumerate(texts) if plan_for(len(b)) == (steps, many, count)]
-        text = np.frombuffer(b"".join(texts[k] for k in here) + bytes(steps + 1), np.uint8)
+        here = [k for k, b in enumerate(texts) if plan_for(len(b)) == (steps, count)]
+        threes = in_threes(np.frombuffer(b"".join(texts[k] for k in here) + bytes(steps + 3), np.uint8))
         begins = np.cumsum([0, *(len(texts[k]) for k in here)])
         item, at = [], []
         for n, k in enumerate(here):
@@ -127,18 +146,62 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         item, at = np.concatenate(item), np.concatenate(at)
         offset = at - begins[np.searchsorted(here, item)]
         for _ in range(count):
-            coins = rng.integers(0, 2, (steps, 256), dtype=np.int64)
-            # one step out of each of as many equal parts of the walk
-            edges = np.linspace(0, steps, many + 1).astype(np.int64)
-            sampled = rng.integers(edges[:-1], edges[1:])
-            _, keys, codes = run_walk(text, at, coins, sampled, {})
+            tables = step_tables(rng.integers(0, 2, (steps, 32)), rng.integers(0, 3, steps // 3))
+            _, keys, codes = run_walk(threes, at, tables, {})
             sieves = {}
             for n, code in codes.items():
                 sieves[n] = np.zeros(1 << SIEVE_BITS, bool)
                 sieves[n][_slot(code)] = True
             order = np.argsort(keys, kind="stable")
-            walks.append(Walk(coins, sampled, sieves, keys[order], item[order], offset[order]))
-    return Index(texts, ids, tuple(walks), tuple(three_grams(np.frombuffer(b, np.uint8)) for b in texts))
+            walks.append(Walk(tables, sieves, keys[order], item[order], offset[order]))
+    many = [-(-len(b) // 64) for b in texts]
+    chunk = np.cumsum([0, *many])
+    masks, last = np.zeros((chunk[-1], 32), np.uint64), np.zeros(chunk[-1], np.uint64)
+    for k, b in enumerate(texts):
+        for n in range(many[k]):
+            part = CLASS[np.frombuffer(b[64 * n : 64 * n + 64], np.uint8)]
+            np.bitwise_or.at(masks[chunk[k] + n], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+            last[chunk[k] + n] = np.uint64(1) << np.uint64(len(part) - 1)
+    return Index(texts, ids, tuple(walks), chunk, masks, last)
+
+
+def chunk_distances(masks: np.ndarray, last: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """For each chunk the least edit distance between it and any substring of its window, both as classes, all chunks at once."""
+    up = last | (last - np.uint64(1))
+    down = np.zeros_like(up)
+    score = np.bitwise_count(up).astype(np.int16)
+    best, row, one = score.copy(), np.arange(len(masks)) * 32, np.uint64(1)
+    flat = masks.reshape(-1)
+    for c in windows.T:
+        eq = flat.take(row + c)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | ~(xh | up)
+        mh = up & xh
+        score += (ph & last) != 0
+        score -= (mh & last) != 0
+        ph <<= one
+        mh <<= one
+        up, down = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best
+
+
+def least_distances(index: Index, classes: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each candidate (an item, and where its window begins and ends) a bound that its edit distance cannot be below: the sum over the item's chunks of 64 bytes."""
+    out = np.zeros(len(item), np.int64)
+    many = index.chunk[item + 1] - index.chunk[item]
+    owner = np.repeat(np.arange(len(item)), many)
+    chunk = np.arange(many.sum()) + np.repeat(index.chunk[item] - np.cumsum(many) + many, many)
+    # windows of about the same length go together
+    order = np.argsort((end - begin)[owner], kind="stable")
+    for p in range(0, len(order), PAIRS):
+        o, k = owner[order[p : p + PAIRS]], chunk[order[p : p + PAIRS]]
+        width = int((end - begin)[o].max())
+        at = begin[o][:, None] + np.arange(width)
+        windows = np.where(at < end[o][:, None], classes.take(np.minimum(at, len(classes) - 1)), BEYOND)
+        np.add.at(out, o, chunk_distances(index.masks[k], index.last[k], windows.astype(np.intp)))
+    return out
 
 
 def edit_distance_within(item: bytes, text: bytes) -> int:
@@ -174,12 +237,13 @@ def edit_distance_within(item: bytes, text: bytes) -> int:
 def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float = MOST_EDITS) -> list[dict[int, int]]:
     """For each row the items that it holds (positions in the index) and their least edit distances."""
     text, begins, at = normalise(data, starts)
-    padded = np.concatenate([text, np.zeros(STEPS + 1, np.uint8)])
+    padded = np.concatenate([text, np.zeros(STEPS + 3, np.uint8)])
+    threes = in_threes(padded)
     found: set[tuple[int, int, int]] = set()
     for walk in index.walks:
         for p in range(0, len(at), WINDOWS):
             part = at[p : p + WINDOWS]
-            which, keys, _ = run_walk(padded, part, walk.coins, walk.sampled, walk.sieves)
+            which, keys, _ = run_walk(threes, part, walk.tables, walk.sieves)
             if not len(which):
                 continue
             low, high = np.searchsorted(walk.keys, keys, "left"), np.searchsorted(walk.keys, keys, "right")
@@ -191,27 +255,23 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
             row = np.searchsorted(begins, window, side="right") - 1
             found.update(zip(row.tolist(), walk.item[hit].tolist(), (window - walk.offset[hit]).tolist(), strict=True))
     out: list[dict[int, int]] = [{} for _ in range(len(starts) - 1)]
-    whole = bytes(text)
-    candidates = sorted(found)
-    grams, seen = three_grams(padded), np.full(1 << 16, -1)
-    i = 0
-    while i < len(candidates):
+    candidates, joined, i = sorted(found), [], 0
+    while i < len(candidates):  # places close together make one window
         row, item, low = candidates[i]
         size = len(index.items[item])
         slack, j, high = int(most_edits * size), i + 1, low
         while j < len(candidates) and candidates[j][:2] == (row, item) and candidates[j][2] <= high + size // 2:
             high, j = candidates[j][2], j + 1
-        begin, end = max(int(begins[row]), low - slack), min(int(begins[row + 1]), high + size + slack)
-        # an edit changes at most three runs of three bytes; the others of the item are in the window
-        seen[grams[begin : max(begin, end - 2)]] = i
-        if np.count_nonzero(seen[index.grams[item]] == i) < size - 2 - 3 * slack:
-            i = j
-            continue
-        window = whole[begin:end]
-        distance = edit_distance_within(index.items[item], window)
-        if distance <= slack:
-            out[row][item] = min(distance, out[row].get(item, distance))
+        joined.append((row, item, max(int(begins[row]), low - slack), min(int(begins[row + 1]), high + size + slack), slack))
         i = j
+    whole = bytes(text)
+    for p in range(0, len(joined), PAIRS):
+        part = np.array(joined[p : p + PAIRS], np.int64)
+        least = least_distances(index, CLASS[text], part[:, 1], part[:, 2], part[:, 3])
+        for row, item, begin, end, slack in part[least <= part[:, 4]].tolist():
+            distance = edit_distance_within(index.items[item], whole[begin:end])
+            if distance <= slack:
+                out[row][item] = min(distance, out[row].get(item, distance))
     return out
 
 
@@ -239,23 +299,32 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     """The columns ``keep`` of ``docs`` with ``__hits`` added: the items that the whole text holds, with their edit distances, by item.
 
     Null and empty texts hold nothing; null or blank items are held by none; items that repeat are all told. Rows are
-    independent and nothing is shuffled. The items are a query set: the driver reads them in blocks of ``block``, each of
-    which goes over all documents, so what is broadcast at once is bounded whatever the number of items.
+    independent and nothing is shuffled; an empty table gives no rows, and without items no row has hits. Columns of
+    any name but ``__hits`` may be kept. The items are a query set: the driver reads them in blocks of ``block``, each
+    of which goes over all documents before the next is read, so what is held and broadcast at once is bounded
+    whatever the number of items.
     """
     spark = docs.sparkSession
     small_batches(spark)
     columns = [*keep, *([] if text_col in keep else [text_col])]
     df = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.array().cast("array<struct<item:bigint,distance:bigint>>").alias(HITS))
-    items, blocks = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator(), []
-    while part := [(r.i, r.t) for _, r in zip(range(block), items, strict=False)]:
-        blocks.append(build_index(part))
-    for n, index in enumerate(blocks):
-        drop = n == len(blocks) - 1 and text_col not in keep
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator()
+    part, n = [(r.i, r.t) for _, r in zip(range(block), items, strict=False)], 0
+    if not part:
+        return df.select(*[F.col(f"`{c}`") for c in keep], HITS)
+    while part:
+        index, part = build_index(part), [(r.i, r.t) for _, r in zip(range(block), items, strict=False)]
+        drop = not part and text_col not in keep
         schema = StructType([f for f in df.schema.fields if not (drop and f.name == text_col)])
-        df = df.mapInArrow(_searcher(spark.sparkContext.broadcast(index), text_col, drop), schema)
+        found = df.mapInArrow(_searcher(spark.sparkContext.broadcast(index), text_col, drop), schema)
+        if part:  # a worker holds the index of one block at a time
+            found = cut(found, "decontamination-block")
+            discard(df)
+        df = found
     return df.select(*[F.col(f"`{c}`") for c in keep], HITS)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: doc_id, whether it is contaminated, how many items it holds, which, and the least edit distance (null for none)."""
     out = find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", (F.size("__hits") > 0).alias("contaminated"), F.size("__hits").cast("long").alias("n_items"), F.col("__hits.item").alias("item_ids"), F.array_min("__hits.distance").alias("least_edits"))
