@@ -1,7 +1,7 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features of the URL.
 
-The URLs that a rule judges are the labelled ones. Statistics of host suffixes are taken over all of them; the
-trees are fitted with numpy on the driver, on at most ``TRAIN_ROWS`` of them, and then written out as SQL
+The URLs that a rule judges are the labelled ones. Statistics of host suffixes are taken over all of them, for a
+labelled URL over those of other folds; the trees are fitted with numpy on the driver, on at most ``TRAIN_ROWS`` of them, and then written out as SQL
 expressions, so that all URLs are scored without Python.
 """
 
@@ -18,6 +18,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Labelled URLs that the trees are fitted on, in order of a hash of the URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, SHRINK = 24, 3, 24, 0.3, 1.0
+#: Parts of the labelled URLs, by a hash of the URL: the suffix statistics of one are taken over the others, so that no label is among its own features.
+FOLDS = 5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -118,9 +120,13 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     base = base.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
     names = list(lexical(F.col("url"), F.col("host"), F.col("path")))
     block = (F.col("told") == "block").cast("double")
-    known = base.filter("told IS NOT NULL").groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_n"), F.sum(block).alias("suffix_blocked"))
+    base = base.withColumn("fold", F.when(F.col("told").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS))))
+    held = base.filter("told IS NOT NULL").groupBy("suffix", "fold").agg(F.count("*").cast("double").alias("n"), F.sum(block).alias("blocked"))
+    known = held.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), F.sum("blocked").alias("suffix_blocked"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "blocked")))).alias("own"))
     full = base.join(known, "suffix", "left")
-    full = full.withColumns({"suffix_rows": F.log1p(F.coalesce("suffix_n", F.lit(0.0))), "suffix_rate": (F.coalesce("suffix_blocked", F.lit(0.0)) + 0.5) / (F.coalesce("suffix_n", F.lit(0.0)) + 1.0)})
+    left = lambda of, name: F.coalesce(of, F.lit(0.0)) - F.coalesce(F.element_at("own", F.col("fold"))[name], F.lit(0.0))
+    full = full.withColumns({"suffix_n": left(F.col("suffix_n"), "n"), "suffix_blocked": left(F.col("suffix_blocked"), "blocked")})
+    full = full.withColumns({"suffix_rows": F.log1p("suffix_n"), "suffix_rate": (F.col("suffix_blocked") + 0.5) / (F.col("suffix_n") + 1.0)})
     names += ["suffix_rows", "suffix_rate"]
     train = full.filter("told IS NOT NULL").withColumn("y", block).orderBy(F.xxhash64("url"), "id").limit(train_rows).select(*names, "y").toPandas()
     if len(train):
@@ -133,5 +139,6 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page: page_id, host, path, rule, verdict, score."""
     out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")

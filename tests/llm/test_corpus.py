@@ -573,6 +573,35 @@ def test_url_rules(spark, world):
     assert all(v[2] in ("allow", "block") for v in out.values())
 
 
+def test_url_features_hold_no_own_label(spark):
+    """One labelled URL of a suffix of its own is scored as if the suffix were unknown, whatever its label."""
+    rows = [(k, f"http://h{k}.org/p{k}") for k in range(30)] + [(k + 100, f"http://h{k}.com/de/{k}") for k in range(30)]
+    told = {}
+    for kind in ("allow", "block"):
+        rules = [*url_filter.RULES, (kind, "lone", "/")]
+        out = url_filter.judge(spark.createDataFrame([*rows, (500, "http://x.lone/"), (501, "http://x.none/")], "page_id long, url string"), rules=rules).collect()
+        told[kind] = {r.id: r for r in out}
+        assert told[kind][500].verdict == kind and told[kind][501].rule is None
+    # the trees never see the one row's label in its own features: they judge it like the unknown suffix
+    for kind in told:
+        assert abs(told[kind][500].score - told[kind][501].score) < 1e-9
+
+
+def test_tree_scores_equal_a_plain_walk(spark):
+    """Score expressions in SQL against walking the same trees in Python."""
+    r = np.random.default_rng(3)
+    x = np.round(r.uniform(size=(300, 2)), 3)
+    first, trees = url_filter.grow_trees(x, (x[:, 0] + x[:, 1] > 1).astype(float))
+    got = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double").select("a", "b", url_filter.tree_score(first, trees, ["a", "b"]).alias("s")).collect()
+
+    def tell(t, row):
+        while not isinstance(t, float):
+            t = t[2] if row[t[0]] <= t[1] else t[3]
+        return t
+
+    assert all(abs(g.s - (first + sum(tell(t, (g.a, g.b)) for t in trees))) < 1e-9 for g in got)
+
+
 def test_trees_learn():
     r = np.random.default_rng(0)
     x = r.uniform(size=(800, 3))
