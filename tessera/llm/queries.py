@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import decontamination, exact_dedup, html_text, mixing, ngram_join, secrets, sharding, suffix_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, html_text, mixing, ngram_join, pipeline, secrets, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_url_filter": url_filter.op10_url_filter,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
