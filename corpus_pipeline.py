@@ -1,58 +1,5 @@
-"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing and sharding, one after the other."""
+"""The corpus pipeline as a script of its own; its stages are those of the corpus operators' package."""
 
-from __future__ import annotations
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import decontamination, mixing, sharding, toxicity
-from tessera.llm.common import cut
-from tessera.llm.ngram_join import JaccardJoin
-
-
-def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model, out_col="__score").filter("__score < 0.5").drop("__score")
-
-
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the least id stays."""
-    return JaccardJoin(docs, words=5, threshold="0.8").run().one_of_each(docs)
-
-
-def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    found = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.filter(F.size(decontamination.HITS) == 0).drop(decontamination.HITS)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_documents(docs)
-
-
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their slot and shard."""
-    return sharding.assign_shards(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", without_toxic),
-    ("ngram_jaccard", without_near_copies),
-    ("decontamination", without_benchmark),
-    ("mixing", mixed),
-    ("sharding", sharded),
-]
-
-#: Toxicity and decontamination have no SQL form; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
