@@ -27,19 +27,19 @@ from .common import IS_SPACE, LOWER_BYTES, bytes_of, cut, discard, pieces, small
 
 #: Edits that a copy may have, as a share of the item's bytes.
 MOST_EDITS = 0.2
-#: By the bytes that an item has less than: steps of a walk, a third of which are sampled, and walks.
-PLANS = ((150, 33, 16), (float("inf"), 39, 10))
+#: By the bytes that an item has less than: steps of a walk, a third of which are sampled, walks, and after how many sampled bytes windows are let go.
+PLANS = ((150, 33, 10, (3, 5, 7)), (float("inf"), 39, 6, (5, 7, 9)))
 STEPS, SEED = max(p[1] for p in PLANS), 20260723
-#: After how many sampled bytes windows are let go, and bits of the tables for it.
-SIEVES, SIEVE_BITS = (3, 5, 7), 20
+#: Bits of the tables by which windows are let go; so many sampled bytes have a place of their own in them.
+SIEVE_BITS, EXACT = 18, 3
 #: Classes of bytes: white space, the letters, and four for all other bytes.
 CLASS = np.array([0 if c == 32 else c - 96 if 97 <= c <= 122 else 27 + c % 4 for c in range(256)], np.uint16)
 #: The class of what lies beyond a window, which no byte has; pairs of windows and chunks that are compared at a time.
 BEYOND, PAIRS = 31, 2048
 #: Items that are searched for at once; more are searched for in blocks.
 BLOCK = 20_000
-WINDOWS, PIECE = 1 << 15, 4 << 20
-_PRIME, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+WINDOWS, PIECE = 1 << 15, 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,10 +57,10 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, begins, np.flatnonzero(word)
 
 
-def plan_for(size: int) -> tuple[int, int]:
-    """Steps and walks for an item of so many bytes; items shorter than a walk has steps have as many steps as threes fit in."""
-    steps, walks = next(p for most, *p in PLANS if size < most)
-    return min(steps, max(3, size // 3 * 3)), walks
+def plan_for(size: int) -> tuple[int, int, tuple[int, ...]]:
+    """Steps, walks and sieves for an item of so many bytes; items shorter than a walk has steps have as many steps as threes fit in."""
+    steps, walks, sieves = next(p for most, *p in PLANS if size < most)
+    return min(steps, max(3, size // 3 * 3)), walks, sieves
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,8 @@ class Index:
     last: np.ndarray  # of each chunk, the bit of its last byte
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    return ((code * _ODD) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+def _slot(code: np.ndarray, taken: int) -> np.ndarray:
+    return code.astype(np.int64) if taken <= EXACT else ((code * _ODD) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
 
 
 def step_tables(coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
@@ -102,27 +102,25 @@ def step_tables(coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
 
 
 def in_threes(text: np.ndarray) -> np.ndarray:
-    """The classes of the three bytes at each place but the last two, five bits each."""
+    """The classes of the three bytes at each place but the last two, five bits each, as indexes."""
     c = CLASS[text]
-    return c[:-2] | c[1:-1] << np.uint16(5) | c[2:] << np.uint16(10)
+    return (c[:-2] | c[1:-1] << np.uint16(5) | c[2:] << np.uint16(10)).astype(np.intp)
 
 
-def run_walk(threes: np.ndarray, at: np.ndarray, tables: np.ndarray, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """The windows (indexes into ``at``) that pass the sieves, their keys, and all codes at the sieves. ``threes`` must go on for a walk's steps."""
-    p, which, code, codes = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), {}
+def run_walk(threes: np.ndarray, at: np.ndarray, tables: np.ndarray, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (indexes into ``at``) that pass the sieves, and their keys, five bits a sampled class. ``threes`` must go on for a walk's steps."""
+    p, which, code = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64)
     for taken, table in enumerate(tables, 1):
         told = table.take(threes.take(p))
         p += told & 3
-        code *= _PRIME
-        code += told >> 2
-        if taken in SIEVES:
-            codes[taken] = code.copy()
-            if taken in sieves:
-                stay = np.flatnonzero(sieves[taken].take(_slot(code)))
-                p, which, code = p[stay], which[stay], code[stay]
-                if not len(p):
-                    break
-    return which, code, codes
+        code <<= np.uint64(5)
+        code |= told >> 2
+        if taken in sieves:
+            stay = np.flatnonzero(sieves[taken].take(_slot(code, taken)))
+            p, which, code = p.take(stay), which.take(stay), code.take(stay)
+            if not len(p):
+                break
+    return which, code
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
@@ -130,9 +128,10 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     kept = [(i, b) for i, t in items if t and (b := bytes(normalise(*bytes_of(pa.array([t])))[0]).strip())]
     texts, ids = tuple(b for _, b in kept), tuple(i for i, _ in kept)
     walks = []
-    for steps, count in sorted({plan_for(len(b)) for b in texts}):
+    for plan in sorted({plan_for(len(b)) for b in texts}):
+        steps, count, at_bytes = plan
         rng = np.random.default_rng([SEED, steps])
-        here = [k for k, b in enumerate(texts) if plan_for(len(b)) == (steps, count)]
+        here = [k for k, b in enumerate(texts) if plan_for(len(b)) == plan]
         threes = in_threes(np.frombuffer(b"".join(texts[k] for k in here) + bytes(steps + 3), np.uint8))
         begins = np.cumsum([0, *(len(texts[k]) for k in here)])
         item, at = [], []
@@ -147,11 +146,12 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         offset = at - begins[np.searchsorted(here, item)]
         for _ in range(count):
             tables = step_tables(rng.integers(0, 2, (steps, 32)), rng.integers(0, 3, steps // 3))
-            _, keys, codes = run_walk(threes, at, tables, {})
             sieves = {}
-            for n, code in codes.items():
-                sieves[n] = np.zeros(1 << SIEVE_BITS, bool)
-                sieves[n][_slot(code)] = True
+            for n in at_bytes:
+                if n < len(tables):
+                    sieves[n] = np.zeros(1 << (5 * n if n <= EXACT else SIEVE_BITS), bool)
+                    sieves[n][_slot(run_walk(threes, at, tables[:n], {})[1], n)] = True
+            keys = run_walk(threes, at, tables, {})[1]
             order = np.argsort(keys, kind="stable")
             walks.append(Walk(tables, sieves, keys[order], item[order], offset[order]))
     many = [-(-len(b) // 64) for b in texts]
@@ -187,20 +187,20 @@ def chunk_distances(masks: np.ndarray, last: np.ndarray, windows: np.ndarray) ->
     return best
 
 
-def least_distances(index: Index, classes: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each candidate (an item, and where its window begins and ends) a bound that its edit distance cannot be below: the sum over the item's chunks of 64 bytes."""
+def least_distances(index: Index, classes: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each candidate (an item, and where its window begins and ends) a bound that its edit distance cannot be below: the sum over the item's chunks of 64 bytes, as far as it stays within ``most``."""
     out = np.zeros(len(item), np.int64)
-    many = index.chunk[item + 1] - index.chunk[item]
-    owner = np.repeat(np.arange(len(item)), many)
-    chunk = np.arange(many.sum()) + np.repeat(index.chunk[item] - np.cumsum(many) + many, many)
+    many, n = index.chunk[item + 1] - index.chunk[item], 0
     # windows of about the same length go together
-    order = np.argsort((end - begin)[owner], kind="stable")
-    for p in range(0, len(order), PAIRS):
-        o, k = owner[order[p : p + PAIRS]], chunk[order[p : p + PAIRS]]
-        width = int((end - begin)[o].max())
-        at = begin[o][:, None] + np.arange(width)
-        windows = np.where(at < end[o][:, None], classes.take(np.minimum(at, len(classes) - 1)), BEYOND)
-        np.add.at(out, o, chunk_distances(index.masks[k], index.last[k], windows.astype(np.intp)))
+    left = np.argsort(end - begin, kind="stable")
+    while len(left := left[(many[left] > n) & (out[left] <= most[left])]):
+        for p in range(0, len(left), PAIRS):
+            o = left[p : p + PAIRS]
+            k = index.chunk[item[o]] + n
+            at = begin[o][:, None] + np.arange(int((end - begin)[o].max()))
+            windows = np.where(at < end[o][:, None], classes.take(np.minimum(at, len(classes) - 1)), BEYOND)
+            out[o] += chunk_distances(index.masks[k], index.last[k], windows.astype(np.intp))
+        n += 1
     return out
 
 
@@ -243,7 +243,7 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
     for walk in index.walks:
         for p in range(0, len(at), WINDOWS):
             part = at[p : p + WINDOWS]
-            which, keys, _ = run_walk(threes, part, walk.tables, walk.sieves)
+            which, keys = run_walk(threes, part, walk.tables, walk.sieves)
             if not len(which):
                 continue
             low, high = np.searchsorted(walk.keys, keys, "left"), np.searchsorted(walk.keys, keys, "right")
@@ -267,7 +267,7 @@ def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float
     whole = bytes(text)
     for p in range(0, len(joined), PAIRS):
         part = np.array(joined[p : p + PAIRS], np.int64)
-        least = least_distances(index, CLASS[text], part[:, 1], part[:, 2], part[:, 3])
+        least = least_distances(index, CLASS[text], part[:, 1], part[:, 2], part[:, 3], part[:, 4])
         for row, item, begin, end, slack in part[least <= part[:, 4]].tolist():
             distance = edit_distance_within(index.items[item], whole[begin:end])
             if distance <= slack:

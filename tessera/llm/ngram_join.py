@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, bytes_of, cut, discard, mix, pieces, small_batches, word_bounds
 from .components import connected_components
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Hash functions for grouping, bins of a sketch, and the share of equal bins from which sets are put into one group.
 MINIMA, BINS, ALIKE = 3, 16, 0.35
 #: A token is common if, over the blocks in which more than two sets share it, so large a share of all documents and so many have it.

@@ -458,7 +458,7 @@ def test_chunk_distances_bound_the_edit_distance():
     data = [bytes(decontamination.normalise(*decontamination.bytes_of(pa.array([t])))[0]) for t in texts]
     end = np.cumsum([len(b) for b in data])
     classes = decontamination.CLASS[np.frombuffer(b"".join(data), np.uint8)]
-    least = decontamination.least_distances(index, classes, np.arange(30), end - [len(b) for b in data], end)
+    least = decontamination.least_distances(index, classes, np.arange(30), end - [len(b) for b in data], end, np.full(30, 10**6))
     true = [decontamination.edit_distance_within(i, b) for i, b in zip(index.items, data, strict=True)]
     assert (least <= true).all() and least.sum() > 0.5 * sum(true)
 
