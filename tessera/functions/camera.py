@@ -137,3 +137,9 @@ def quaternion_residual(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot) / size)))).otherwise(F.lit(float("inf")))
 
 
+
+
+def area_lower_bound(us: Column, vs: Column, width: Column, height: Column) -> Column:
+    """A share of the image that a projected box has at least, its corners' columns and rows each known as struct(lo, hi)."""
+    span = lambda b: F.greatest(F.lit(0.0), F.array_max(F.transform(b, lambda i: i["lo"])) - F.array_min(F.transform(b, lambda i: i["hi"])))
+    return F.when((F.size(us) > 0) & (F.size(vs) > 0) & (width > 0) & (height > 0), span(us) * span(vs) / (width * height))

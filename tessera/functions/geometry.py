@@ -198,12 +198,19 @@ def hull(points: Column) -> Column:
 
         return F.aggregate(sorted_points, F.array().cast(kind), push)
 
-    ordered = F.array_sort(F.array_distinct(points))
-    low, high = chain(ordered), chain(F.reverse(ordered))
-    return F.when(F.size(ordered) < 3, ordered).otherwise(F.concat(F.slice(low, F.lit(1), F.size(low) - 1), F.slice(high, F.lit(1), F.size(high) - 1)))
+    # each value is bound once: a column that is used twice is computed twice inside of lambdas
+    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    but_last = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
+    both = lambda o: F.concat(bind(chain(o), but_last), bind(chain(F.reverse(o)), but_last))
+    return bind(F.array_sort(F.array_distinct(points)), lambda o: F.when(F.size(o) < 3, o).otherwise(both(o)))
 
 
 def hausdorff(a: Column, b: Column) -> Column:
     """The largest distance from a corner of one set (struct x, y, z) to the nearest of the other, both ways."""
     far = lambda p, q: F.array_max(F.transform(p, lambda v: F.array_min(F.transform(q, lambda w: F.sqrt(F.pow(v["x"] - w["x"], 2) + F.pow(v["y"] - w["y"], 2) + F.pow(v["z"] - w["z"], 2))))))
     return F.greatest(far(a, b), far(b, a))
+
+
+def region_payload(polygons: Column) -> Column:
+    """A region's parts as canonical rings, least first, so that equal regions are told alike; empty for none."""
+    return F.array_sort(F.transform(polygons, canonical_ring))

@@ -61,6 +61,14 @@ def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, wi
     return d.withColumn("a_truncated", F.when(F.col("a_cx").isNull(), 1.0).otherwise(1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area))
 
 
+def toy_move(objects: DataFrame, moves: DataFrame, pixels_per_metre: float = 100.0) -> DataFrame:
+    """The objects that ``moves`` (scene_id, object_id, new_x, new_y) names, moved under the toy camera of JSON scenes: the image box shifts with x, the depth with y; heights, sizes and shares stay."""
+    d = objects.join(moves, ["scene_id", "object_id"])
+    dx, dy = F.col("new_x") - F.col("x"), F.col("new_y") - F.col("y")
+    shift = {n: F.col(n) + pixels_per_metre * dx for n in ("xmin", "xmax", "cx")}
+    return d.withColumns({**shift, "depth": F.col("depth") + dy, "x": F.col("new_x"), "y": F.col("new_y")}).drop("new_x", "new_y")
+
+
 def move_pairs(objects: DataFrame, moves: DataFrame, focal: float = 320.0, camera_x: float = 4.0, camera_y: float = -2.0, width: float = 640.0, height: float = 480.0) -> DataFrame:
     """A row a candidate and other object, with the labels of both directions before (fb, rb) and after (fa, ra), the gaps, and whether the moved subject collides."""
     d = moves.join(side(objects, "s", (*STRUCT, "movable", "pinned", "scene_size")).withColumnRenamed("s_object_id", "subject_id"), ["scene_id", "subject_id"])

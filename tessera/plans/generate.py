@@ -15,6 +15,7 @@ from tessera.operators import roster as T
 from tessera.sources.config import GenerationConfig
 from tessera.sources.dataset import DatasetManifest, inspect_dataset, publish_dataset, verify_dataset
 from tessera.sources.fixture import ROOM
+from tessera.streaming.campaign import finished
 
 
 def config_digest(config: GenerationConfig) -> str:
@@ -22,14 +23,11 @@ def config_digest(config: GenerationConfig) -> str:
 
 
 def stage(spark: SparkSession, path: str, build, key: str) -> DataFrame:
-    """The stage's table if it was written whole under this key, else built and written now."""
-    try:
-        return spark.read.parquet(f"{path}/key={key}")
-    except Exception as e:  # the path is absent
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    build().write.mode("errorifexists").parquet(f"{path}/key={key}")
-    return spark.read.parquet(f"{path}/key={key}")
+    """The stage's table if it was written whole under this key, else built and written now, in place of what a broken write left."""
+    at = f"{path}/key={key}"
+    if not finished(spark, at):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 def plan(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float] = ROOM, steps: tuple[float, ...] = M.STEPS) -> DataFrame:

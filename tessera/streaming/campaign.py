@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has ended well: only then it has a success marker."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def run_missing(spark: SparkSession, requests: str, done: str, execute: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
     """Executes the requests (Parquet files under ``requests``, with a request_id) that ``done`` has no row of, and appends their outcomes there.
 
@@ -16,11 +22,8 @@ def run_missing(spark: SparkSession, requests: str, done: str, execute: Callable
 
     def batch(rows: DataFrame, _: int) -> None:
         fresh = rows.dropDuplicates(["request_id"])
-        try:
+        if finished(spark, done):
             fresh = fresh.join(spark.read.parquet(done).select("request_id"), "request_id", "left_anti")
-        except Exception as e:  # nothing is done yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         execute(fresh).write.mode("append").parquet(done)
 
     query = spark.readStream.schema(schema).parquet(requests).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

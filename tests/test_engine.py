@@ -239,6 +239,37 @@ def test_ids_are_remapped_by_name(spark):
         S.remap_ids(seen, known.filter("name = 'n1'")).collect()
 
 
+@pytest.mark.parametrize(("new_y", "seen"), [(-2.0, False), (-5.0, False), (-1.0, True)])
+def test_nothing_is_seen_at_or_behind_the_camera(spark, new_y, seen):
+    """The camera stands at y = -2: a move onto its plane divided by zero once."""
+    objects = scene_objects(spark, SF).filter("scene_id = 1")
+    rows = objects.select("object_id").orderBy("object_id").limit(2).collect()
+    move = spark.createDataFrame([("q", 1, rows[0].object_id, rows[1].object_id, "left", "right", 4.0, new_y)], "request_id string, scene_id long, subject_id long, reference_id long, relation_before string, relation_after string, new_x double, new_y double")
+    got = M.move_pairs(objects, move).select("a_truncated", "a_cx", "seen_a").collect()
+    assert got and all((r.a_cx is not None) == seen for r in got)
+    assert seen or all(r.a_truncated == 1.0 and not r.seen_a for r in got)
+    assert M.score(M.verify(objects, move, ROOM), ROOM).count() == 1
+
+
+def test_toy_move(spark):
+    objects = scene_objects(spark, SF).filter("scene_id = 1")
+    first = objects.orderBy("object_id").first()
+    move = spark.createDataFrame([(1, first.object_id, first.x + 1, first.y - 2)], "scene_id long, object_id long, new_x double, new_y double")
+    got = M.toy_move(objects, move).first()
+    assert (got.x, got.y, got.z) == (first.x + 1, first.y - 2, first.z)
+    assert abs(got.xmin - first.xmin - 100) < 1e-9 and abs(got.depth - first.depth + 2) < 1e-9 and got.ymin == first.ymin
+
+
+def test_config_defaults(tmp_path):
+    path = tmp_path / "least.toml"
+    path.write_text('scene_names = ["B", "A", "B"]\ncampaign_id = "x"\n')
+    config = load_generation_config(path)
+    assert (config.config_version, config.adapter, config.split, config.scene_names) == (1, "ai2thor", "train", ("A", "B"))
+    (tmp_path / "other.toml").hardlink_to(path)
+    with pytest.raises(ValueError):
+        load_generation_config(path)
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
     path.write_text('config_version = 1\nadapter = "tables"\nscene_names = ["A"]\nsplit = "train"\ncampaign_id = "x"\n')
@@ -246,8 +277,23 @@ def test_config(tmp_path):
     path.write_text(path.read_text() + "extra = 1\n")
     with pytest.raises(ValueError, match="extra"):
         load_generation_config(path)
-    with pytest.raises(ValueError, match="sorted"):
-        GenerationConfig(1, "tables", ("b", "a"), "train", "x")
+    assert GenerationConfig(1, "tables", ("b", "a"), "train", "x").scene_names == ("a", "b")
+    for names in ((), ("a", ""), tuple(map(str, range(33)))):
+        with pytest.raises(ValueError, match="scene_names"):
+            GenerationConfig(1, "tables", names, "train", "x")
+
+
+def test_stages_that_died_are_built_again(spark, tmp_path):
+    """A folder without its success marker is what a broken write leaves."""
+    path, built = str(tmp_path / "stage"), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    (tmp_path / "stage" / "key=k" / "_temporary").mkdir(parents=True)
+    assert generate.stage(spark, path, build, "k").count() == 3 and len(built) == 1
+    assert generate.stage(spark, path, build, "k").count() == 3 and len(built) == 1
 
 
 def test_generate_verify_inspect(spark, tmp_path, capsys):
