@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     before = F.sum("best.bytes").over(Window.orderBy(F.xxhash64(F.lit(SEED), "id"), "id"))
     rows = rows.withColumn("upto", before).filter(F.col("upto") <= train_bytes).select(F.col("id").cast("string").alias("id"), "best.text", "toxic")
     got = rows.repartition(1).mapInArrow(_fit_once, "table binary, bias double").first()
-    return Model(np.frombuffer(got.table, np.float32), got.bias)
+    return Model(np.frombuffer(got.table, np.float32), got.bias) if got else fit([], [])
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
