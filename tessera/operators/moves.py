@@ -46,7 +46,8 @@ def all_requests(objects: DataFrame) -> DataFrame:
 def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, width: float, height: float) -> DataFrame:
     """Adds the subject's view after the move: a_cx, a_depth, a_xmin, a_xmax, a_truncated. The box keeps its size; residuals of the observed view stay.
 
-    At or behind the camera there is no view: the columns of the image are null and all of the box is cut off.
+    At or behind the camera there is no view: the columns of the image are null and all of the box is cut off. So it is
+    where the box is so near to the camera's plane that its image has no width in doubles.
     """
     ahead = lambda y: F.when(F.col(y) > camera_y, F.col(y) - camera_y)
     depth_before, depth = ahead("s_y"), ahead("new_y")
@@ -58,7 +59,7 @@ def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, wi
     d = d.withColumns({"a_depth": F.col("new_y") - camera_y + (F.col("s_depth") - (F.col("s_y") - camera_y)), "a_cx": cx, "a_xmin": cx - half_w, "a_xmax": cx + half_w, "a_ymin": cy - half_h, "a_ymax": cy + half_h})
     clip = lambda lo, hi, most: F.greatest(F.lit(0.0), F.least(F.col(hi), F.lit(float(most))) - F.greatest(F.col(lo), F.lit(0.0)))
     area = (F.col("a_xmax") - F.col("a_xmin")) * (F.col("a_ymax") - F.col("a_ymin"))
-    return d.withColumn("a_truncated", F.when(F.col("a_cx").isNull(), 1.0).otherwise(1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area))
+    return d.withColumn("a_truncated", F.when(F.col("a_cx").isNull() | (area <= 0), 1.0).otherwise(1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area))
 
 
 def toy_move(objects: DataFrame, moves: DataFrame, pixels_per_metre: float = 100.0) -> DataFrame:

@@ -124,7 +124,7 @@ def verified(moves: str, strict: bool = False) -> str:
             (s.ymin + s.ymax) / 2 + 320::DOUBLE * (1.5::DOUBLE - s.z) / (CASE WHEN ny > -2 THEN ny + 2::DOUBLE END) - 320::DOUBLE * (1.5::DOUBLE - s.z) / (s.y + 2::DOUBLE) AS a_cy
         FROM {moves} m JOIN objects s ON s.scene_id = m.scene_id AND s.object_id = m.s_id),
     v2 AS (SELECT *, a_cx - (sxmax - sxmin) / 2 AS axmin, a_cx + (sxmax - sxmin) / 2 AS axmax, a_cy - (symax - symin) / 2 AS aymin, a_cy + (symax - symin) / 2 AS aymax FROM v1),
-    v3 AS (SELECT *, CASE WHEN a_cx IS NULL THEN 1 ELSE 1 - greatest(0::DOUBLE, least(axmax, 640::DOUBLE) - greatest(axmin, 0::DOUBLE)) * greatest(0::DOUBLE, least(aymax, 480::DOUBLE) - greatest(aymin, 0::DOUBLE)) / ((axmax - axmin) * (aymax - aymin)) END AS a_trunc FROM v2),
+    v3 AS (SELECT *, CASE WHEN a_cx IS NULL OR (axmax - axmin) * (aymax - aymin) <= 0 THEN 1 ELSE 1 - greatest(0::DOUBLE, least(axmax, 640::DOUBLE) - greatest(axmin, 0::DOUBLE)) * greatest(0::DOUBLE, least(aymax, 480::DOUBLE) - greatest(aymin, 0::DOUBLE)) / ((axmax - axmin) * (aymax - aymin)) END AS a_trunc FROM v2),
     v4 AS (SELECT v3.*, o.object_id AS o_id, o.x AS ox, o.y AS oy, o.ex AS oex, o.ey AS oey, {b_seen.replace("s.visible_fraction", "s_vis").replace("s.image_area_fraction", "s_area").replace("s.truncated_fraction", "b_trunc")} AS seen_b,
             {a_seen.replace("s.visible_fraction", "s_vis").replace("s.image_area_fraction", "s_area")} AS seen_a, o.cx - scx AS dxb, o.depth - sdepth AS ddb, o.cx - a_cx AS dxa, o.depth - a_depth AS dda,
             {gap("sx", "sy", "sex", "sey", "o")} AS gb, {gap("nx", "ny", "sex", "sey", "o")} AS ga,
