@@ -1,11 +1,13 @@
-"""Suffix arrays by induced sorting, vectorised a bucket at a time, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, a bucket or a suffix at a time, and permuted common prefixes."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
-#: Above this many different symbols (names of substrings) a level sorts by doubling ranks, as buckets would be too small to work on one at a time.
-MOST_SYMBOLS = 4096
+#: Buckets of fewer suffixes than this on average (names of substrings have such) are induced a suffix at a time, the others a bucket at a time; the order is the same.
+SMALL_BUCKET = 64
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -83,6 +85,34 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) ->
     return sa
 
 
+def induce_singly(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
+    """What ``induce`` gives, by scans that look at one suffix after the other."""
+    size = np.bincount(s, minlength=symbols)
+    end = np.cumsum(size)
+    text, up = array("q", s.astype(np.int64).tobytes()), small.tobytes()
+    sa = array("q", np.full(len(s), -1, np.int64).tobytes())
+    back = end.tolist()
+    for p in seeds[::-1].tolist():
+        c = text[p]
+        back[c] -= 1
+        sa[back[c]] = p
+    front = (end - size).tolist()
+    for i in range(len(sa)):
+        p = sa[i] - 1
+        if p >= 0 and not up[p]:
+            c = text[p]
+            sa[front[c]] = p
+            front[c] += 1
+    back = end.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and up[p]:
+            c = text[p]
+            back[c] -= 1
+            sa[back[c]] = p
+    return np.frombuffer(sa, np.int64)
+
+
 def _same_substrings(s: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each but the first of the substrings (in their sorted order), whether it equals the one before."""
     same = size[1:] == size[:-1]
@@ -96,25 +126,6 @@ def _same_substrings(s: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndar
     return same
 
 
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffix array by ranks of twice the length at each round."""
-    n, width = len(s), 1
-    order = np.argsort(s, kind="stable")
-    rank = np.empty(n, np.int64)
-    while True:
-        if width == 1:
-            key = s.astype(np.int64)
-        else:
-            key = rank * (n + 1)
-            key[: n - width // 2] += rank[width // 2 :] + 1
-            order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if rank[order[-1]] == n - 1:
-            return order
-        width *= 2
-
-
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The places of the suffixes of ``s`` in order; the last symbol must be 0 and no other may be.
 
@@ -124,12 +135,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if len(s) < 2:
         return np.arange(len(s))
     symbols = int(s.max()) + 1
-    if symbols > MOST_SYMBOLS:
-        return _by_doubling(s)
+    sort = induce if len(s) >= SMALL_BUCKET * symbols else induce_singly
     small = classify(s)
     lms = leftmost_smaller(small)
     if len(lms) > 1:
-        sa = induce(s, small, lms, symbols)
+        sa = sort(s, small, lms, symbols)
         is_lms = np.zeros(len(s), bool)
         is_lms[lms] = True
         by_substring = sa[is_lms[sa]]
@@ -142,7 +152,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             lms = lms[suffix_array(named[lms])]
         else:
             lms = by_substring
-    return induce(s, small, lms, symbols)
+    return sort(s, small, lms, symbols)
 
 
 def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:

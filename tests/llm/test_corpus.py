@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, decontamination, exact_dedup, html_text, mixing, ngram_join, queries, secrets, sharding, suffix_dedup, toxicity, url_filter
+from tessera.llm import components, decontamination, exact_dedup, html_text, mixing, ngram_join, queries, secrets, sharding, suffix_array, suffix_dedup, toxicity, url_filter
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -638,3 +638,16 @@ def test_pipeline_against_plain_steps(spark, world):
         if k == 4:
             assert len(after) == len(before) and after.shard.between(0, sharding.SHARDS - 1).all()
     assert corpus_pipeline.run(spark, folder).count() == len(after)
+
+
+@pytest.mark.parametrize("small_bucket", [0, 64, 1 << 30])
+def test_suffix_array(monkeypatch, small_bucket):
+    """Induction a bucket at a time, a suffix at a time, and as the size tells, against sorting; names beyond 4096 too."""
+    monkeypatch.setattr(suffix_array, "SMALL_BUCKET", small_bucket)
+    draw = np.random.default_rng(5)
+    for k in range(300):
+        s = np.append(draw.integers(1, 2 + k % 7, k % 60), 0)
+        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    text = draw.integers(97, 123, 60_000).astype(np.uint8).tobytes()
+    found = suffix_array.suffix_array(np.append(np.frombuffer(text, np.uint8).astype(np.int64) + 2, 0)).tolist()[1:]
+    assert all(text[a : a + 200] <= text[b : b + 200] for a, b in zip(found[:-1], found[1:], strict=True)) and sorted(found) == list(range(len(text)))
