@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import geometry as G
 from tessera.functions import relations as R
 
 from .pairs import c, collides, ground_gap, inside_rectangle, side, z_overlap
+from .search import best_points
 
 WEIGHTS = {"translation": 1.0, "damage": 5.0, "visibility": 2.0, "safety": 1.0}
 #: The reference's steps of the grid and of its two refinements, in metres.
@@ -32,12 +32,6 @@ def satisfied_requests(objects: DataFrame) -> DataFrame:
     return d.withColumn("relation_after", R.lookup(R.OPPOSITE, F.col("relation_before")))
 
 
-def first_requests(objects: DataFrame) -> DataFrame:
-    """One request a scene, the first by subject, reference and relation; its scene is its id."""
-    w = Window.partitionBy("scene_id").orderBy("subject_id", "reference_id", "relation_before")
-    return satisfied_requests(objects).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n").withColumn("request_id", F.col("scene_id"))
-
-
 def all_requests(objects: DataFrame) -> DataFrame:
     """Every satisfied request; its id is made of scene, subject, reference and relation."""
     return satisfied_requests(objects).withColumn("request_id", F.concat_ws(":", "scene_id", "subject_id", "reference_id", "relation_before"))
@@ -177,20 +171,6 @@ def grid_moves(requests: DataFrame, room: tuple[float, float, float, float], ste
     return requests.withColumn("new_x", F.explode(axis(room[0], room[2]))).withColumn("new_y", F.explode(axis(room[1], room[3])))
 
 
-def refine_moves(best: DataFrame, step: float) -> DataFrame:
-    """The 3 x 3 points around the best of each request."""
-    around = F.array(*[F.lit(k * step) for k in (-1.0, 0.0, 1.0)])
-    names = ("request_id", "scene_id", "subject_id", "reference_id", "relation_before", "relation_after")
-    return best.select(*names, F.col("new_x").alias("x0"), F.col("new_y").alias("y0")).withColumn("new_x", F.explode(F.transform(around, lambda k: F.round(F.col("x0") + k, 9)))).withColumn("new_y", F.explode(F.transform(around, lambda k: F.round(F.col("y0") + k, 9)))).drop("x0", "y0")
-
-
-def promising(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float, float]) -> DataFrame:
-    """The moves that ``verify`` may find successful: in the room, and seen with the relation flipped. One pair a move tells, not all of its scene."""
-    d = move_pairs(objects, moves).filter(F.col("r_object_id") == F.col("reference_id"))
-    flipped = F.array_contains(F.col("fa"), F.col("relation_after")) & ~F.array_contains(F.col("fa"), F.col("relation_before"))
-    return d.filter(inside_rectangle("m", room) & F.col("seen_b") & F.col("seen_a") & flipped).select(*moves.columns)
-
-
 def best_candidates(scored: DataFrame, least: tuple[str, ...]) -> DataFrame:
     """Of each request the successful candidate that is least by the columns given, in order."""
     good = scored.filter("status = 'SUCCESS'")
@@ -200,15 +180,7 @@ def best_candidates(scored: DataFrame, least: tuple[str, ...]) -> DataFrame:
 
 
 def solve(objects: DataFrame, requests: DataFrame, room: tuple[float, float, float, float], strict: bool = True, steps: tuple[float, ...] = (2.0,), weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The best move of each request on a grid of the first step, refined by 3 x 3 points at each further one. Strict: the shortest without any other change; otherwise the cheapest."""
+    """The best move of each request on a grid of the first step, refined by 3 x 3 points at each further one. Strict: the shortest without any other change; otherwise the cheapest. What the search finds is verified and scored once more, a row a request."""
     least = ("translation", "total", "new_x", "new_y") if strict else ("total", "translation", "new_x", "new_y")
-    # a file of a few requests would be one task, whatever the number of points
-    moves, best = grid_moves(requests.repartition("request_id"), room, steps[0]), None
-    for k, step in enumerate(steps):
-        if k:
-            moves = refine_moves(best, step)
-        found = best_candidates(score(verify(objects, promising(objects, moves, room), room, strict), room, weights), least)
-        best = found if best is None else best_candidates(best.unionByName(found), least)
-        if step != steps[-1]:
-            best = best.persist()  # a row a request, which the next step reads twice
-    return best
+    found = best_points(objects, requests, room, strict, steps, weights)
+    return score(verify(objects, found, room, strict), room, weights).filter("status = 'SUCCESS'")

@@ -15,32 +15,32 @@ from tessera.sources import dataset as D
 from tessera.sources.fixture import OBJECTS, ROOM, scene_objects
 
 from . import sql as S
-from .scenes import MIRROR, _mirror_moves, _requests, over_all
+from .scenes import MIRROR, _mirror_moves
 
 
-def _outcomes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    """The mirror move of every scene's first request, or of every request, as an outcome: errors of the scene reject in planning, others in execution."""
+def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The mirror move of every request as an outcome: errors of the scene reject in planning, others in execution."""
     d = scene_objects(spark, sf)
-    v = M.verify(d, _mirror_moves(d, every), ROOM)
+    v = M.verify(d, _mirror_moves(d), ROOM)
     reason = F.when(F.col("errors") != "", F.regexp_extract("errors", "^([a-z_]+)", 1)).otherwise(F.lower("status"))
     return v.select("request_id", "relation_after", F.when(F.col("status") == "INVALID_SCENE", "planning").otherwise("execution").alias("stage"), (F.col("status") == "SUCCESS").alias("accepted"), reason.alias("reason"))
 
 
-def terminal_reasons(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return D.terminal_reasons(_outcomes(spark, sf, every))
+def terminal_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return D.terminal_reasons(_outcomes(spark, sf))
 
 
-def generation_report(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return D.report(_outcomes(spark, sf, every))
+def generation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return D.report(_outcomes(spark, sf))
 
 
-def inspect_summary(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _outcomes(spark, sf, every).filter("accepted").groupBy("relation_after").agg(F.count("*").alias("records"))
+def inspect_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _outcomes(spark, sf).filter("accepted").groupBy("relation_after").agg(F.count("*").alias("records"))
 
 
-def attempt_closure(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def attempt_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Every request is planned; those of scenes that 10 divides are attempted twice, of those after them not at all."""
-    planned = _requests(scene_objects(spark, sf), every).select("request_id", "scene_id")
+    planned = M.all_requests(scene_objects(spark, sf)).select("request_id", "scene_id")
     tries = planned.filter("scene_id % 10 <> 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("scene_id") % 10 == 0, 2).otherwise(1))))
     return D.attempt_closure(planned, tries)
 
@@ -118,13 +118,13 @@ def slot_window(spark: SparkSession, sf: str) -> DataFrame:
     return scene_objects(spark, sf).select("scene_id", "object_id", (F.row_number().over(w) - 1).cast("long").alias("selection_index"))
 
 
-OUT = f"""{MIRROR}, outcomes AS (SELECT scene_id AS request_id, rel_after AS relation_after, CASE WHEN status = 'INVALID_SCENE' THEN 'planning' ELSE 'execution' END AS stage, status = 'SUCCESS' AS accepted,
+OUT = f"""{MIRROR}, outcomes AS (SELECT {S.KEY} AS request_id, rel_after AS relation_after, CASE WHEN status = 'INVALID_SCENE' THEN 'planning' ELSE 'execution' END AS stage, status = 'SUCCESS' AS accepted,
     CASE WHEN errors <> '' THEN regexp_extract(errors, '^([a-z_]+)', 1) ELSE lower(status) END AS reason FROM scored)"""
 QUERIES = {
     "terminal_reasons": (terminal_reasons, f"WITH {OUT} SELECT stage || ':' || reason AS reason, count(*) AS n FROM outcomes WHERE NOT accepted GROUP BY ALL"),
     "generation_report": (generation_report, f"WITH {OUT} SELECT count(*) AS frozen_requests, count(*) FILTER (WHERE stage <> 'planning') AS planned_requests, count(*) FILTER (WHERE stage = 'planning') AS planning_rejected, count(*) FILTER (WHERE accepted) AS accepted_requests, count(*) FILTER (WHERE stage <> 'planning' AND NOT accepted) AS execution_rejected FROM outcomes"),
     "inspect_summary": (inspect_summary, f"WITH {OUT} SELECT relation_after, count(*) AS records FROM outcomes WHERE accepted GROUP BY ALL"),
-    "attempt_closure": (attempt_closure, f"WITH {S.REQUESTS} SELECT scene_id AS request_id, CASE scene_id % 10 WHEN 0 THEN 'repeated' ELSE 'missing' END AS finding FROM firsts WHERE scene_id % 10 IN (0, 1)"),
+    "attempt_closure": (attempt_closure, f"WITH {S.REQUESTS} SELECT {S.KEY} AS request_id, CASE scene_id % 10 WHEN 0 THEN 'repeated' ELSE 'missing' END AS finding FROM requests WHERE scene_id % 10 IN (0, 1)"),
     "reference_closure": (reference_closure, """SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'part' AS kind, l_partkey AS v FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT DISTINCT 'supplier', l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
         UNION ALL SELECT DISTINCT 'order', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT DISTINCT 'line', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY kind"""),
     "checksum_ledger": (checksum_ledger, f"WITH {OBJECTS} SELECT scene_id, sha256(array_to_string(list_sort(list(object_id || ':' || category)), ';')) || '  scene-' || lpad(CAST(scene_id AS VARCHAR), 8, '0') AS line FROM objects GROUP BY scene_id"),
@@ -139,4 +139,3 @@ QUERIES = {
     "directed_rotation": (directed_rotation, "WITH t AS (SELECT DISTINCT p_size * 7 % 360 AS d FROM part) SELECT count(*) AS angles, count(*) AS holding, count(*) AS narrow FROM t"),
     "selection_index": (slot_window, f"WITH {OBJECTS} SELECT scene_id, object_id, row_number() OVER (PARTITION BY scene_id ORDER BY category, object_id) - 1 AS selection_index FROM objects"),
 }
-QUERIES |= over_all(("terminal_reasons", "generation_report", "inspect_summary", "attempt_closure"), QUERIES)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,79 +157,77 @@ def projected_views(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("scene_id", "object_id", *[F.round(F.col(f"v.bbox.{n}"), 4).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], F.round("v.depth", 6).alias("depth"), _zero(F.col("v.truncated"), 5).alias("truncated"))
 
 
-def _requests(d: DataFrame, every: bool) -> DataFrame:
-    return M.all_requests(d) if every else M.first_requests(d)
-
-
-def _mirror_moves(d: DataFrame, every: bool = False) -> DataFrame:
-    """The first request of each scene, or every one, its subject moved to the other side of the reference."""
+def _mirror_moves(d: DataFrame) -> DataFrame:
+    """Every request, its subject moved to the other side of the reference."""
     at = lambda name: P.side(d, "q", ("object_id", "x", "y")).select("scene_id", F.col("q_object_id").alias(name), F.col("q_x").alias(f"{name}_x"), F.col("q_y").alias(f"{name}_y"))
-    m = _requests(d, every).join(at("subject_id"), ["scene_id", "subject_id"]).join(at("reference_id"), ["scene_id", "reference_id"])
+    m = M.all_requests(d).join(at("subject_id"), ["scene_id", "subject_id"]).join(at("reference_id"), ["scene_id", "reference_id"])
     return m.withColumn("new_x", 2 * F.col("reference_id_x") - F.col("subject_id_x")).withColumn("new_y", 2 * F.col("reference_id_y") - F.col("subject_id_y")).drop("subject_id_x", "subject_id_y", "reference_id_x", "reference_id_y")
 
 
 MIRROR = f"""{S.REQUESTS},
-mirror AS (SELECT f.scene_id, f.s_id, f.r_id, f.rel_before, f.rel_after, 2 * r.x - s.x AS nx, 2 * r.y - s.y AS ny FROM firsts f
+mirror AS (SELECT f.scene_id, f.s_id, f.r_id, f.rel_before, f.rel_after, 2 * r.x - s.x AS nx, 2 * r.y - s.y AS ny FROM requests f
     JOIN objects s ON s.scene_id = f.scene_id AND s.object_id = f.s_id JOIN objects r ON r.scene_id = f.scene_id AND r.object_id = f.r_id), {S.verified("mirror")}"""
 
 
-def _verified(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def _verified(spark: SparkSession, sf: str) -> DataFrame:
     d = scene_objects(spark, sf)
-    return M.verify(d, _mirror_moves(d, every), ROOM)
+    return M.verify(d, _mirror_moves(d), ROOM)
 
 
-def verifier_status(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _verified(spark, sf, every).select("request_id", "subject_id", "reference_id", "relation_before", "status", "quality", "leakage", "relation_damage", "errors")
+def verifier_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf).select("request_id", "subject_id", "reference_id", "relation_before", "status", "quality", "leakage", "relation_damage", "errors")
 
 
-def moved_relation_diff(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _verified(spark, sf, every).filter("status = 'SUCCESS'").select("request_id", F.col("changed").alias("changes"))
+def moved_relation_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf).filter("status = 'SUCCESS'").select("request_id", F.col("changed").alias("changes"))
 
 
-def relation_damage(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _verified(spark, sf, every).groupBy("relation_before", "status", "quality").agg(F.count("*").alias("n"), F.sum("relation_damage").alias("damage"), F.sum("leakage").alias("leakage"))
+def relation_damage(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf).groupBy("relation_before", "status", "quality").agg(F.count("*").alias("n"), F.sum("relation_damage").alias("damage"), F.sum("leakage").alias("leakage"))
 
 
-def expected_target_diff(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def expected_target_diff(spark: SparkSession, sf: str) -> DataFrame:
     """The four changes that a flip of a request's pair must make at least."""
-    d = _requests(scene_objects(spark, sf), every)
+    d = M.all_requests(scene_objects(spark, sf))
     s, r, a, b = (F.col(c).cast("string") for c in ("subject_id", "reference_id", "relation_before", "relation_after"))
     row = lambda sign, x, rel, y: F.concat_ws(":", F.concat(F.lit(sign), x), rel, y)
     four = F.array(row("+", s, b, r), row("-", s, a, r), row("+", r, R.lookup(R.CONVERSE, b), s), row("-", r, R.lookup(R.CONVERSE, a), s))
     return d.select("request_id", F.array_join(F.array_sort(four), ",").alias("changes"))
 
 
-def objective_terms(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    d = M.score(_verified(spark, sf, every), ROOM)
+def objective_terms(spark: SparkSession, sf: str) -> DataFrame:
+    d = M.score(_verified(spark, sf), ROOM)
     return d.select("request_id", *[F.round(c, 5).alias(c) for c in ("translation", "damage", "visibility", "safety", "total")])
 
 
-def _best(spark: SparkSession, sf: str, strict: bool, steps: tuple[float, ...] = (2.0,)) -> DataFrame:
+def _best(spark: SparkSession, sf: str, strict: bool, steps: tuple[float, ...] = M.STEPS) -> DataFrame:
     d = scene_objects(spark, sf)
-    best = M.solve(d, _requests(d, steps == M.STEPS), ROOM, strict=strict, steps=steps)
+    best = M.solve(d, M.all_requests(d), ROOM, strict=strict, steps=steps)
     return best.select("request_id", "subject_id", "reference_id", "relation_after", "new_x", "new_y", F.round("translation", 5).alias("translation"), "relation_damage", "quality")
 
 
 def grid_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict solver: grid of 0.1 m, then 3 x 3 points at 0.05 and 0.01 m."""
     return _best(spark, sf, True)
 
 
 def min_cost_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum-cost solver at the same steps."""
     return _best(spark, sf, False)
 
 
-def grid_best_fine(spark: SparkSession, sf: str) -> DataFrame:
-    """The strict solver on every request at the reference's steps; ``grid_best`` is its check by SQL on a grid of 2 m."""
-    return _best(spark, sf, True, M.STEPS)
+def grid_coarse(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict solver on a grid of 2 m, which SQL can search too."""
+    return _best(spark, sf, True, (2.0,))
 
 
-def min_cost_best_fine(spark: SparkSession, sf: str) -> DataFrame:
-    """The minimum-cost solver on every request at the reference's steps; ``min_cost_best`` is its check by SQL on a grid of 2 m."""
-    return _best(spark, sf, False, M.STEPS)
+def min_cost_coarse(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum-cost solver on a grid of 2 m, which SQL can search too."""
+    return _best(spark, sf, False, (2.0,))
 
 
 def grid_refined(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid of 0.1 m, then 3 x 3 points at 0.05 and 0.01 m; how far each request's best gets."""
+    """How far each request's best gets at the minimum cost."""
     d = scene_objects(spark, sf)
     best = M.solve(d, M.all_requests(d), ROOM, strict=False, steps=M.STEPS)
     return best.select("request_id", "new_x", "new_y", F.round("total", 5).alias("total"))
@@ -238,17 +235,10 @@ def grid_refined(spark: SparkSession, sf: str) -> DataFrame:
 
 def _grid_sql(strict: bool) -> str:
     order = "translation, total, nx, ny" if strict else "total, translation, nx, ny"
-    return f"""WITH {S.REQUESTS}, moves AS (SELECT f.scene_id, f.s_id, f.r_id, f.rel_before, f.rel_after, (i * 2)::DOUBLE AS nx, (j * 2)::DOUBLE AS ny FROM firsts f, range(0, 5) g(i), range(0, 5) h(j)), {S.verified("moves", strict)},
+    return f"""WITH {S.REQUESTS}, moves AS (SELECT f.scene_id, f.s_id, f.r_id, f.rel_before, f.rel_after, (i * 2)::DOUBLE AS nx, (j * 2)::DOUBLE AS ny FROM requests f, range(0, 5) g(i), range(0, 5) h(j)), {S.verified("moves", strict)},
     ranked AS (SELECT *, 1 * translation + 5 * damage + 2 * visibility + 1 * safety AS total FROM scored WHERE status = 'SUCCESS'),
-    best AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {order}) AS k FROM ranked)
-    SELECT scene_id AS request_id, s_id AS subject_id, r_id AS reference_id, rel_after AS relation_after, nx AS new_x, ny AS new_y, round(translation, 5) AS translation, relation_damage, quality FROM best WHERE k = 1"""
-
-
-def over_all(names: tuple[str, ...], found: dict) -> dict:
-    """The queries on first requests again, named with ``_all``, over every request; their SQL differs in that alone."""
-    key = "concat_ws(':', scene_id, s_id, r_id, rel_before) AS request_id"
-    sql = lambda text: text.replace("FROM requests WHERE n = 1", "FROM requests").replace("scene_id AS request_id", key)
-    return {f"{n}_all": (partial(found[n][0], every=True), sql(found[n][1])) for n in names}
+    best AS (SELECT *, row_number() OVER (PARTITION BY scene_id, s_id, r_id, rel_before ORDER BY {order}) AS k FROM ranked)
+    SELECT {S.KEY} AS request_id, s_id AS subject_id, r_id AS reference_id, rel_after AS relation_after, nx AS new_x, ny AS new_y, round(translation, 5) AS translation, relation_damage, quality FROM best WHERE k = 1"""
 
 
 QUERIES = {
@@ -275,15 +265,14 @@ QUERIES = {
     "projected_views": (projected_views, f"""WITH {OBJECTS}, t AS (SELECT *, 320 * (x + 0.5::DOUBLE - 4) / (y + 3) + 320 + (xmin + xmax) / 2 - (320 * (x - 4) / (y + 2) + 320) AS u, 240 - 320 * (z - 1.5::DOUBLE) / (y + 3) + (ymin + ymax) / 2 - (240 - 320 * (z - 1.5::DOUBLE) / (y + 2)) AS v, (xmax - xmin) / 2 AS hw, (ymax - ymin) / 2 AS hh FROM objects)
         SELECT scene_id, object_id, round(u - hw, 4) AS xmin, round(v - hh, 4) AS ymin, round(u + hw, 4) AS xmax, round(v + hh, 4) AS ymax, round(y + 3, 6) AS depth,
         {_zero_sql('1 - greatest(0::DOUBLE, least(u + hw, 640) - greatest(u - hw, 0::DOUBLE)) * greatest(0::DOUBLE, least(v + hh, 480) - greatest(v - hh, 0::DOUBLE)) / (4 * hw * hh)', 5)} AS truncated FROM t"""),
-    "verifier_status": (verifier_status, f"WITH {MIRROR} SELECT scene_id AS request_id, s_id AS subject_id, r_id AS reference_id, rel_before AS relation_before, status, quality, leakage, relation_damage, errors FROM scored"),
-    "moved_relation_diff": (moved_relation_diff, f"WITH {MIRROR} SELECT scene_id AS request_id, changes FROM scored WHERE status = 'SUCCESS'"),
+    "verifier_status": (verifier_status, f"WITH {MIRROR} SELECT {S.KEY} AS request_id, s_id AS subject_id, r_id AS reference_id, rel_before AS relation_before, status, quality, leakage, relation_damage, errors FROM scored"),
+    "moved_relation_diff": (moved_relation_diff, f"WITH {MIRROR} SELECT {S.KEY} AS request_id, changes FROM scored WHERE status = 'SUCCESS'"),
     "relation_damage": (relation_damage, f"WITH {MIRROR} SELECT rel_before AS relation_before, status, quality, count(*) AS n, CAST(sum(relation_damage) AS BIGINT) AS damage, CAST(sum(leakage) AS BIGINT) AS leakage FROM scored GROUP BY ALL"),
-    "expected_target_diff": (expected_target_diff, f"""WITH {S.REQUESTS} SELECT scene_id AS request_id, array_to_string(list_sort(['+' || s_id || ':' || rel_after || ':' || r_id, '-' || s_id || ':' || rel_before || ':' || r_id, '+' || r_id || ':' || {S.lookup(R.CONVERSE, 'rel_after')} || ':' || s_id, '-' || r_id || ':' || {S.lookup(R.CONVERSE, 'rel_before')} || ':' || s_id]), ',') AS changes FROM firsts"""),
-    "objective_terms": (objective_terms, f"WITH {MIRROR} SELECT scene_id AS request_id, round(translation, 5) AS translation, round(damage, 5) AS damage, round(visibility, 5) AS visibility, round(safety, 5) AS safety, round(translation + 5 * damage + 2 * visibility + safety, 5) AS total FROM scored"),
-    "grid_best": (grid_best, _grid_sql(True)),
-    "min_cost_best": (min_cost_best, _grid_sql(False)),
-    "grid_best_fine": (grid_best_fine, None),
-    "min_cost_best_fine": (min_cost_best_fine, None),
+    "expected_target_diff": (expected_target_diff, f"""WITH {S.REQUESTS} SELECT {S.KEY} AS request_id, array_to_string(list_sort(['+' || s_id || ':' || rel_after || ':' || r_id, '-' || s_id || ':' || rel_before || ':' || r_id, '+' || r_id || ':' || {S.lookup(R.CONVERSE, 'rel_after')} || ':' || s_id, '-' || r_id || ':' || {S.lookup(R.CONVERSE, 'rel_before')} || ':' || s_id]), ',') AS changes FROM requests"""),
+    "objective_terms": (objective_terms, f"WITH {MIRROR} SELECT {S.KEY} AS request_id, round(translation, 5) AS translation, round(damage, 5) AS damage, round(visibility, 5) AS visibility, round(safety, 5) AS safety, round(translation + 5 * damage + 2 * visibility + safety, 5) AS total FROM scored"),
+    "grid_best": (grid_best, None),
+    "min_cost_best": (min_cost_best, None),
+    "grid_coarse": (grid_coarse, _grid_sql(True)),
+    "min_cost_coarse": (min_cost_coarse, _grid_sql(False)),
     "grid_refined": (grid_refined, None),
 }
-QUERIES |= over_all(("verifier_status", "moved_relation_diff", "relation_damage", "expected_target_diff", "objective_terms"), QUERIES)

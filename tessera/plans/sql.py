@@ -96,13 +96,12 @@ candidates AS (
     LEFT JOIN closure c ON c.scene_id = l.scene_id AND c.child = l.s_id AND c.ancestor = l.r_id
     CROSS JOIN (VALUES {", ".join(f"('{r}', '{AXIS[r]}')" for r in RELATIONS)}) q(relation, axis))
 """
+KEY = "concat_ws(':', scene_id, s_id, r_id, rel_before)"
 REQUESTS = f"""{PAIRS},
 requests AS (
-    SELECT l.scene_id, s_id, r_id, u.relation AS rel_before, {lookup(OPPOSITE, "u.relation")} AS rel_after,
-        row_number() OVER (PARTITION BY l.scene_id ORDER BY s_id, r_id, u.relation) AS n
+    SELECT l.scene_id, s_id, r_id, u.relation AS rel_before, {lookup(OPPOSITE, "u.relation")} AS rel_after
     FROM labelled l, unnest(l.labels) AS u(relation)
-    WHERE s_movable AND NOT s_pinned AND NOT EXISTS (SELECT 1 FROM objects h WHERE h.scene_id = l.scene_id AND h.support_id = l.s_id)),
-firsts AS (SELECT * FROM requests WHERE n = 1)
+    WHERE s_movable AND NOT s_pinned AND NOT EXISTS (SELECT 1 FROM objects h WHERE h.scene_id = l.scene_id AND h.support_id = l.s_id))
 """
 
 
