@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, ngram_join, pipeline, secrets, sharding, suffix_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, filter_audit, html_text, mixing, ngram_join, periodic_runs, pieces, pipeline, secrets, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_sharding": sharding.op6_sql(), "op9_secrets": secrets.op9_sql()}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op6_sharding": sharding.op6_sql(), "op9_secrets": secrets.op9_sql(), "op11_filter_audit": filter_audit.OP11_SQL}
