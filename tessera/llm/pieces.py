@@ -24,9 +24,9 @@ from .common import bytes_of, mix, pieces, small_batches
 
 MARK = "▁"
 #: Code points that are merged together; more find more equal words, and take more memory (some 60 bytes each).
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of text or of tokens that a task turns into one Arrow batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 NONE = np.int32(2**31 - 1)
 #: An odd multiplier of word hashes and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
