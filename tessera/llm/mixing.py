@@ -29,8 +29,10 @@ SEED = 20260723
 DP_WORDS = 1 << 17
 #: Rows of a plan that may be broadcast, at some 80 bytes each; a larger plan is joined by shuffle.
 BROADCAST_PLAN = 300_000
-#: Sums of long documents that are held for the way back; beyond that, sums that lie close together become one of them.
+#: Sums of long documents that are held for the way back; beyond that, of sums that lie close together the ends stay.
 HELD_SUMS = 1 << 23
+#: Parts of long lengths that one program fits, and how many of the longest document the rest may hold before it does.
+PROGRAM_PARTS, PROGRAM_RESTS = 256, 8
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,24 +71,69 @@ def share_targets(sizes: dict[str, int], weights: tuple[float, ...] = WEIGHTS, m
     return {k: target[k] for k in order}
 
 
-def fit_long(lengths: np.ndarray, spare: np.ndarray, rest: int, fill: int) -> np.ndarray:
-    """How many of each length to take so that their words, with up to ``fill`` words more to come, are nearest to ``rest``."""
-    take, steps = np.zeros(len(lengths), np.int64), []
-    usable = [i for i in range(len(lengths)) if spare[i] and lengths[i] <= 2 * rest]
+def fit_long(lengths: np.ndarray, spare: np.ndarray, rest: int, fill: int, seed: int = SEED) -> np.ndarray:
+    """How many of each length to take so that their words, with up to ``fill`` words more to come, are near to ``rest``.
+
+    Up to ``PROGRAM_PARTS`` parts (powers of two of a length's documents) are fitted by one program over their sums. Of
+    more, lengths in a seeded order are taken while the rest is many times the longest, and a program over some of the
+    others, the longest among them, fits what remains; this goes on until a program takes nothing more.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    order = np.array(sorted(range(len(lengths)), key=lambda i: hashlib.md5(f"{seed}:long:{lengths[i]}".encode()).digest()), np.int64)
+    while rest > 0:
+        spare_now = spare - take
+        usable = order[(spare_now[order] > 0) & (lengths[order] <= 2 * rest)]
+        if not len(usable):
+            break
+        parts = _parts(lengths, spare_now, usable, rest)
+        if every := len(parts) <= PROGRAM_PARTS:
+            chosen = parts
+        else:
+            edge = PROGRAM_RESTS * int(lengths[usable].max())
+            for i in usable.tolist():
+                n = min(int(spare_now[i]), max(0, rest - edge) // int(lengths[i]))
+                take[i] += n
+                rest -= n * int(lengths[i])
+            spare_now = spare - take
+            usable = usable[(spare_now[usable] > 0) & (lengths[usable] <= 2 * rest)]
+            parts = _parts(lengths, spare_now, usable, rest)
+            longest = sorted(parts, key=lambda p: -p[1] * int(lengths[p[0]]))[: PROGRAM_PARTS // 2]
+            chosen = longest + [p for p in parts if p not in set(longest)][: PROGRAM_PARTS // 2]
+        more = _fit_sums(lengths, chosen, rest, fill)
+        take += more
+        rest -= int((more * lengths).sum())
+        if every or not more.any():
+            break
+    return take
+
+
+def _parts(lengths: np.ndarray, spare: np.ndarray, usable: np.ndarray, rest: int) -> list[tuple[int, int]]:
+    """A length's documents as powers of two, so that any number of them is a sum of parts."""
     parts = []
-    for i in usable:
+    for i in usable.tolist():
         n, many = min(int(spare[i]), rest // int(lengths[i]) + 1), 1
         while n > 0:
             parts.append((i, min(many, n)))
             n, many = n - many, many * 2
+    return parts
+
+
+def _fit_sums(lengths: np.ndarray, parts: list[tuple[int, int]], rest: int, fill: int) -> np.ndarray:
+    """The subset of ``parts`` whose sum is nearest to what is wanted, by a program over all sums that they reach.
+
+    Where there are more sums than are held, of those in a unit the least and the greatest stay: a sum lost lies
+    between two that stay, so the error is below a unit a step however long the documents are.
+    """
+    take, steps = np.zeros(len(lengths), np.int64), []
     held, sums = max(1 << 10, HELD_SUMS // max(1, len(parts))), np.zeros(1, np.int64)
-    unit = 2 * rest // held + 1
+    unit = 4 * rest // held + 1
     for i, part in parts:
         steps.append((i, part, sums))
         more = sums + part * int(lengths[i])
         sums = np.union1d(sums, more[more <= 2 * rest])
         if len(sums) > held:
-            sums = sums[np.unique(sums // unit, return_index=True)[1]]
+            first = np.unique(sums // unit, return_index=True)[1]
+            sums = sums[np.union1d(first, np.append(first[1:], len(sums)) - 1)]
     off = np.where(sums > rest, sums - rest, np.maximum(rest - sums - fill, 0))
     goal = int(sums[np.flatnonzero(off == off.min())[-1]])
     for i, part, before in reversed(steps):
@@ -110,7 +157,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     order = sorted(range(len(lengths)), key=lambda i: hashlib.md5(f"{seed}:{lengths[i]}".encode()).digest())
     long = lengths > dp_words
     if rest > dp_words and spare[long].any():
-        more = fit_long(lengths, np.where(long, spare, 0), rest, int((spare * lengths)[~long].sum()))
+        more = fit_long(lengths, np.where(long, spare, 0), rest, int((spare * lengths)[~long].sum()), seed)
         take, spare, rest = take + more, spare - more, rest - int((more * lengths).sum())
     for most in (1, None):  # one more of each length, then as many as there are
         for i in order:
