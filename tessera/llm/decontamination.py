@@ -3,11 +3,12 @@
 A random walk reads a string and writes the byte under its pointer at each step; whether the pointer then advances is
 a coin of the step and the byte. Strings within a small edit distance so become strings within a small Hamming distance.
 Bit sampling keeps a few of the written bytes as a key. Keys are taken of all windows of every benchmark item that start
-at a word, and of the windows at every word of every document, by several walks; equal keys make a candidate: an
+at a word, and of the windows at every word of every document, by several walks; in long words (text written without
+spaces, addresses, code), items have a window every few bytes and documents one at every character; equal keys make a candidate: an
 item-sized window of the document, at the place where the item would start. The exact edit distance between the
 candidate and the item decides.
 
-The walk reads classes of bytes (each letter is its own), so that three steps are one look into a table, and one of
+The walk reads classes of bytes (31 in all), so that three steps are one look into a table, and one of
 each three steps is sampled. The windows of a document are walked together, and those whose first sampled bytes are
 those of no item are let go before the walk's end, which changes no key.
 """
@@ -32,13 +33,15 @@ PLANS = ((150, 33, 10, (3, 5, 7)), (float("inf"), 39, 6, (5, 7, 9)))
 STEPS, SEED = max(p[1] for p in PLANS), 20260723
 #: Bits of the tables by which windows are let go; so many sampled bytes have a place of their own in them.
 SIEVE_BITS, EXACT = 18, 3
-#: Classes of bytes: white space, the letters, and four for all other bytes.
-CLASS = np.array([0 if c == 32 else c - 96 if 97 <= c <= 122 else 27 + c % 4 for c in range(256)], np.uint16)
+#: Classes of bytes: white space, the letters, and for other bytes any of thirty, those of letters among them.
+CLASS = np.array([0 if c == 32 else c - 96 if 97 <= c <= 122 else 1 + c * 11 % 30 for c in range(256)], np.uint16)
 #: The class of what lies beyond a window, which no byte has; pairs of windows and chunks that are compared at a time.
 BEYOND, PAIRS = 31, 2048
 #: Items that are searched for at once; more are searched for in blocks.
 BLOCK = 20_000
 WINDOWS, PIECE = 1 << 15, 1 << 20
+#: A word of more bytes has windows inside it: at every character in a document, and in an item at one of so many bytes.
+LONG_WORD, APART = 24, 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +60,21 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, begins, np.flatnonzero(word)
 
 
+def window_starts(text: np.ndarray, begins: np.ndarray, words: np.ndarray, apart: int = 1) -> np.ndarray:
+    """Where windows start: at each word (``words``), and in long ones at each character that is ``apart`` or more bytes after the last such place."""
+    stops = np.sort(np.concatenate([np.flatnonzero(text == 32), begins[1:]]))
+    size = stops[np.searchsorted(stops, words, side="right")] - words if len(words) else words
+    long = size > LONG_WORD
+    if not long.any():
+        return words
+    first, steps = words[long], -(-size[long] // apart)
+    inner = np.repeat(first, steps) + apart * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
+    # to the next byte that starts a character; a character has four bytes at most
+    for _ in range(3):
+        inner = inner + (((text[np.minimum(inner, len(text) - 1)] & 0xC0) == 0x80) & (inner < len(text)))
+    return np.unique(np.concatenate([words, inner[inner < np.repeat(first + size[long], steps)]]))
+
+
 def plan_for(size: int) -> tuple[int, int, tuple[int, ...]]:
     """Steps, walks and sieves for an item of so many bytes; items shorter than a walk has steps have as many steps as threes fit in."""
     steps, walks, sieves = next(p for most, *p in PLANS if size < most)
@@ -137,7 +155,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         item, at = [], []
         for n, k in enumerate(here):
             b = np.frombuffer(texts[k], np.uint8)
-            offsets = np.flatnonzero((b != 32) & np.r_[True, b[:-1] == 32])
+            offsets = window_starts(b, np.array([0, len(b)]), np.flatnonzero((b != 32) & np.r_[True, b[:-1] == 32]), APART)
             # a walk reads about half as many bytes as it has steps
             offsets = offsets[offsets <= max(0, len(b) - steps // 2)]
             item.append(np.full(len(offsets), k))
@@ -237,6 +255,7 @@ def edit_distance_within(item: bytes, text: bytes) -> int:
 def search(data: np.ndarray, starts: np.ndarray, index: Index, most_edits: float = MOST_EDITS) -> list[dict[int, int]]:
     """For each row the items that it holds (positions in the index) and their least edit distances."""
     text, begins, at = normalise(data, starts)
+    at = window_starts(text, begins, at)
     padded = np.concatenate([text, np.zeros(STEPS + 3, np.uint8)])
     threes = in_threes(padded)
     found: set[tuple[int, int, int]] = set()

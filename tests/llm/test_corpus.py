@@ -651,3 +651,38 @@ def test_suffix_array(monkeypatch, small_bucket):
     text = draw.integers(97, 123, 60_000).astype(np.uint8).tobytes()
     found = suffix_array.suffix_array(np.append(np.frombuffer(text, np.uint8).astype(np.int64) + 2, 0)).tolist()[1:]
     assert all(text[a : a + 200] <= text[b : b + 200] for a, b in zip(found[:-1], found[1:], strict=True)) and sorted(found) == list(range(len(text)))
+
+
+@pytest.mark.parametrize("shorts", [False, True])
+@pytest.mark.parametrize("many", [300, 5000, 20_000])
+def test_budget_of_many_long_lengths(many, shorts):
+    r = np.random.default_rng(many)
+    lengths = np.unique(np.concatenate([np.arange(5, 300) if shorts else np.zeros(0, np.int64), r.integers(140_000, 3_000_000, many)]))
+    counts = np.where(lengths < 1000, 3, 1)
+    for share in (0.13, 0.5, 0.97):
+        budget = int((lengths * counts).sum() * share)
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int((take * lengths).sum()) - budget) <= budget / 1000
+
+
+@pytest.mark.parametrize("name", ["cjk", "code"])
+def test_decontamination_without_spaces(name):
+    r = random.Random(name)
+    letters, sizes = ([chr(c) for c in range(0x4E00, 0x5A00)], (40, 120, 250)) if name == "cjk" else (list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/_-"), (60, 200, 390))
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+
+    def edited(t, share):
+        chars = list(t)
+        for i in r.sample(range(len(chars)), int(len(chars) * share)):
+            chars[i] = r.choice(["", r.choice(letters), chars[i] + r.choice(letters)])
+        return "".join(chars)
+
+    index = decontamination.build_index([(k, text(r.choice(sizes))) for k in range(100)])
+    for share in (0, 0.1, 0.15, 0.2):
+        docs = [f"{text(200)}{'x/' if k % 2 else ''}{edited(item.decode(), share)}{text(200)}" for k, item in enumerate(index.items)]
+        found = decontamination.search(*decontamination.bytes_of(pa.array(docs)), index)
+        near = [k for k, d in enumerate(docs) if decontamination.edit_distance_within(index.items[k], bytes(decontamination.normalise(*decontamination.bytes_of(pa.array([d])))[0])) <= int(0.2 * len(index.items[k]))]
+        caught = sum(k in found[k] for k in near)
+        assert caught == len(near) if share == 0 else caught >= 0.95 * len(near)
+        assert sum(len(f) for f in found) <= caught + 1
