@@ -18,15 +18,19 @@ from .search import best_points
 WEIGHTS = {"translation": 1.0, "damage": 5.0, "visibility": 2.0, "safety": 1.0}
 #: The reference's steps of the grid and of its two refinements, in metres.
 STEPS = (0.1, 0.05, 0.01)
+#: A scene's own camera and room: place, height, turn (degrees; 0 looks along y), focal length and size of the image in pixels, and the room's rectangle.
+VIEW = ("camera_x", "camera_y", "camera_z", "camera_yaw", "focal", "width", "height", "room_x0", "room_y0", "room_x1", "room_y1")
 STRUCT = ("object_id", "x", "y", "z", "ex", "ey", "ez", "cx", "depth", "xmin", "xmax", "ymin", "ymax", "visible_fraction", "image_area_fraction", "truncated_fraction", "support_id")
 
 
 def satisfied_requests(objects: DataFrame) -> DataFrame:
-    """All (scene_id, subject_id, reference_id, relation_before, relation_after) that hold now with a subject that may move."""
+    """All (scene_id, subject_id, reference_id, relation_before, relation_after) that hold now with a subject that may move. Boxes with a ``yaw`` are turned."""
     from .pairs import ordered_pairs, with_relations
 
     children = objects.filter("support_id IS NOT NULL").select("scene_id", F.col("support_id").alias("s_object_id")).distinct()
-    pairs = with_relations(ordered_pairs(objects, ("x", "y", "ex", "ey", "cx", "depth", "visible_fraction", "image_area_fraction", "truncated_fraction", "movable", "pinned")))
+    turned = "yaw" in objects.columns
+    names = ("x", "y", "ex", "ey", "cx", "depth", "visible_fraction", "image_area_fraction", "truncated_fraction", "movable", "pinned", *(("yaw",) if turned else ()))
+    pairs = with_relations(ordered_pairs(objects, names), turned)
     pairs = pairs.filter("s_movable AND NOT s_pinned").join(children, ["scene_id", "s_object_id"], "left_anti")
     d = pairs.select("scene_id", F.col("s_object_id").alias("subject_id"), F.col("r_object_id").alias("reference_id"), F.explode("labels").alias("relation_before"))
     return d.withColumn("relation_after", R.lookup(R.OPPOSITE, F.col("relation_before")))
@@ -37,21 +41,28 @@ def all_requests(objects: DataFrame) -> DataFrame:
     return satisfied_requests(objects).withColumn("request_id", F.concat_ws(":", "scene_id", "subject_id", "reference_id", "relation_before"))
 
 
-def with_camera(d: DataFrame, focal: float, camera_x: float, camera_y: float, width: float, height: float) -> DataFrame:
+def with_camera(d: DataFrame, focal: float | Column, camera_x: float | Column, camera_y: float | Column, width: float | Column, height: float | Column, camera_z: float | Column = 1.5, camera_yaw: Column | None = None) -> DataFrame:
     """Adds the subject's view after the move: a_cx, a_depth, a_xmin, a_xmax, a_truncated. The box keeps its size; residuals of the observed view stay.
 
     At or behind the camera there is no view: the columns of the image are null and all of the box is cut off. So it is
     where the box is so near to the camera's plane that its image has no width in doubles.
     """
-    ahead = lambda y: F.when(F.col(y) > camera_y, F.col(y) - camera_y)
-    depth_before, depth = ahead("s_y"), ahead("new_y")
-    du = F.col("s_cx") - ((F.col("s_x") - camera_x) * focal / depth_before + width / 2)
-    cx = (F.col("new_x") - camera_x) * focal / depth + width / 2 + du
+    if camera_yaw is None:
+        across = lambda x, y: F.col(x) - camera_x
+        along = lambda x, y: F.col(y) - camera_y
+    else:
+        cos, sin = F.cos(F.radians(camera_yaw)), F.sin(F.radians(camera_yaw))
+        across = lambda x, y: (F.col(x) - camera_x) * cos + (F.col(y) - camera_y) * sin
+        along = lambda x, y: (F.col(y) - camera_y) * cos - (F.col(x) - camera_x) * sin
+    ahead = lambda x, y: F.when(along(x, y) > 0, along(x, y))
+    depth_before, depth = ahead("s_x", "s_y"), ahead("new_x", "new_y")
+    du = F.col("s_cx") - (across("s_x", "s_y") * focal / depth_before + width / 2)
+    cx = across("new_x", "new_y") * focal / depth + width / 2 + du
     half_w, half_h = (F.col("s_xmax") - F.col("s_xmin")) / 2, (F.col("s_ymax") - F.col("s_ymin")) / 2
-    rise = F.lit(1.5) - F.col("s_z")  # below the camera
+    rise = F.lit(camera_z) - F.col("s_z")  # below the camera
     cy = (F.col("s_ymin") + F.col("s_ymax")) / 2 + focal * rise / depth - focal * rise / depth_before
-    d = d.withColumns({"a_depth": F.col("new_y") - camera_y + (F.col("s_depth") - (F.col("s_y") - camera_y)), "a_cx": cx, "a_xmin": cx - half_w, "a_xmax": cx + half_w, "a_ymin": cy - half_h, "a_ymax": cy + half_h})
-    clip = lambda lo, hi, most: F.greatest(F.lit(0.0), F.least(F.col(hi), F.lit(float(most))) - F.greatest(F.col(lo), F.lit(0.0)))
+    d = d.withColumns({"a_depth": along("new_x", "new_y") + (F.col("s_depth") - along("s_x", "s_y")), "a_cx": cx, "a_xmin": cx - half_w, "a_xmax": cx + half_w, "a_ymin": cy - half_h, "a_ymax": cy + half_h})
+    clip = lambda lo, hi, most: F.greatest(F.lit(0.0), F.least(F.col(hi), F.lit(most).cast("double")) - F.greatest(F.col(lo), F.lit(0.0)))
     area = (F.col("a_xmax") - F.col("a_xmin")) * (F.col("a_ymax") - F.col("a_ymin"))
     return d.withColumn("a_truncated", F.when(F.col("a_cx").isNull() | (area <= 0), 1.0).otherwise(1 - clip("a_xmin", "a_xmax", width) * clip("a_ymin", "a_ymax", height) / area))
 
@@ -64,22 +75,44 @@ def toy_move(objects: DataFrame, moves: DataFrame, pixels_per_metre: float = 100
     return d.withColumns({**shift, "depth": F.col("depth") + dy, "x": F.col("new_x"), "y": F.col("new_y")}).drop("new_x", "new_y")
 
 
-def move_pairs(objects: DataFrame, moves: DataFrame, focal: float = 320.0, camera_x: float = 4.0, camera_y: float = -2.0, width: float = 640.0, height: float = 480.0) -> DataFrame:
-    """A row a candidate and other object, with the labels of both directions before (fb, rb) and after (fa, ra), the gaps, and whether the moved subject collides."""
-    d = moves.join(side(objects, "s", (*STRUCT, "movable", "pinned", "scene_size")).withColumnRenamed("s_object_id", "subject_id"), ["scene_id", "subject_id"])
-    d = with_camera(d, focal, camera_x, camera_y, width, height)
-    d = d.join(side(objects, "r", STRUCT), "scene_id").filter("r_object_id <> subject_id")
-    d = d.withColumns({"m_x": F.col("new_x"), "m_y": F.col("new_y"), "m_z": F.col("s_z"), "m_ex": F.col("s_ex"), "m_ey": F.col("s_ey"), "m_ez": F.col("s_ez")})
+def move_pairs(objects: DataFrame, moves: DataFrame, focal: float = 320.0, camera_x: float = 4.0, camera_y: float = -2.0, width: float = 640.0, height: float = 480.0, views: DataFrame | None = None) -> DataFrame:
+    """A row a candidate and other object, with the labels of both directions before (fb, rb) and after (fa, ra), the gaps, and whether the moved subject collides.
+
+    With ``views``, a row a scene with the columns ``VIEW``, each scene has its own camera (and its columns stay); scenes
+    without one have no rows. Where objects have a ``yaw``, boxes are turned by it.
+    """
+    turned = "yaw" in objects.columns
+    struct = (*STRUCT, "yaw") if turned else STRUCT
+    d = moves.join(side(objects, "s", (*struct, "movable", "pinned", "scene_size")).withColumnRenamed("s_object_id", "subject_id"), ["scene_id", "subject_id"])
+    if views is None:
+        d = with_camera(d, focal, camera_x, camera_y, width, height)
+    else:
+        d = d.join(views.select("scene_id", *VIEW), "scene_id")
+        d = with_camera(d, *[F.col(n) for n in ("focal", "camera_x", "camera_y", "width", "height", "camera_z", "camera_yaw")])
+        width = F.col("width")
+    d = d.join(side(objects, "r", struct), "scene_id").filter("r_object_id <> subject_id")
+    d = d.withColumns({"m_x": F.col("new_x"), "m_y": F.col("new_y"), **{f"m_{n}": F.col(f"s_{n}") for n in ("z", "ex", "ey", "ez", *(("yaw",) if turned else ()))}})
     see = lambda p, t: R.is_visible(c(p, "visible_fraction"), c(p, "image_area_fraction"), t)
     other = see("r", c("r", "truncated_fraction"))
-    before = (see("s", c("s", "truncated_fraction")) & other, c("r", "cx") - c("s", "cx"), c("r", "depth") - c("s", "depth"), ground_gap("s", "r"))
-    after = (see("s", F.col("a_truncated")) & other, c("r", "cx") - F.col("a_cx"), c("r", "depth") - F.col("a_depth"), ground_gap("m", "r"))
+    # distances once, as columns: the labels name them often
+    d = d.withColumns({"gap_b": ground_gap("s", "r", turned), "gap_a": ground_gap("m", "r", turned)})
+    before = (see("s", c("s", "truncated_fraction")) & other, c("r", "cx") - c("s", "cx"), c("r", "depth") - c("s", "depth"), F.col("gap_b"))
+    after = (see("s", F.col("a_truncated")) & other, c("r", "cx") - F.col("a_cx"), c("r", "depth") - F.col("a_depth"), F.col("gap_a"))
     turn = lambda o: (o[0], -o[1], -o[2], o[3])
-    d = d.withColumns({"seen_b": before[0], "seen_a": after[0], "gap_a": after[3], "dx_a": after[1], "dd_a": after[2]})
-    d = d.withColumns({"fb": R.labels(*before), "fa": R.labels(*after), "rb": R.labels(*turn(before)), "ra": R.labels(*turn(after))})
+    d = d.withColumns({"seen_b": before[0], "seen_a": after[0], "dx_a": after[1], "dd_a": after[2]})
+    d = d.withColumns({"fb": R.labels(*before, width), "fa": R.labels(*after, width), "rb": R.labels(*turn(before), width), "ra": R.labels(*turn(after), width)})
     # what holds the subject up may touch it
     free = ~F.coalesce(F.col("r_object_id") == F.col("s_support_id"), F.lit(False))
-    return d.withColumns({"hits": free & collides("m", "r"), "z_common": z_overlap("m", "r"), "free": free})
+    return d.withColumns({"hits": free & collides("m", "r", turned), "z_common": z_overlap("m", "r"), "free": free})
+
+
+def half_extents(prefix: str, turned: bool) -> tuple[Column, Column]:
+    """Half of a box's extents along x and y, of a turned one those of its bounds."""
+    ex, ey = c(prefix, "ex") / 2, c(prefix, "ey") / 2
+    if not turned:
+        return ex, ey
+    cos, sin = (F.abs(f(F.radians(c(prefix, "yaw")))) for f in (F.cos, F.sin))
+    return cos * ex + sin * ey, sin * ex + cos * ey
 
 
 def _differs(a: str, b: str, axis: str) -> Column:
@@ -95,26 +128,34 @@ def _changes() -> Column:
     )
 
 
-def verify(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float, float], strict: bool = False, key: tuple[str, ...] = ("request_id", "new_x", "new_y")) -> DataFrame:
+def verify(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float, float], strict: bool = False, key: tuple[str, ...] = ("request_id", "new_x", "new_y"), views: DataFrame | None = None) -> DataFrame:
     """A row a candidate: status, quality, leakage, relation_damage, errors and changes (sorted, joined by commas), and what scoring needs.
 
     In order: errors; not visible; source, then target not satisfied; converses that disagree; and, if ``strict``, changes of
     the target pair's other axes and of any other pair. Only pairs with the subject can change, as nothing else moves.
+    With ``views`` (see ``move_pairs``) each scene has its own camera and room; boxes with a ``yaw`` are turned.
     """
-    pairs = move_pairs(objects, moves)
+    turned = "yaw" in objects.columns
+    pairs = move_pairs(objects, moves, views=views)
+    if views is not None:
+        room = tuple(F.col(n) for n in VIEW[-4:])
     children = objects.filter("support_id IS NOT NULL").select("scene_id", F.col("support_id").alias("subject_id")).distinct().withColumn("has_child", F.lit(True))
     target = F.col("r_object_id") == F.col("reference_id")
     axis = R.lookup(R.AXIS, F.col("relation_before"))
     items = F.array_compact(F.array(*[F.when(_differs("fb", "fa", a) & ~(target & (axis == a)), F.concat(F.least("subject_id", "r_object_id").cast("string"), F.lit("|"), F.greatest("subject_id", "r_object_id").cast("string"), F.lit(f":{a}"))) for a in R.AXES]))
     supported = F.col("r_object_id") == F.col("s_support_id")
     holds = (F.abs(F.col("m_x") - F.col("r_x")) <= (F.col("r_ex") - F.col("m_ex")) / 2 + G.ROOM_TOLERANCE) & (F.abs(F.col("m_y") - F.col("r_y")) <= (F.col("r_ey") - F.col("m_ey")) / 2 + G.ROOM_TOLERANCE)
+    if turned:
+        plan = lambda p: G.footprint(c(p, "x"), c(p, "y"), c(p, "ex"), c(p, "ey"), c(p, "yaw"))
+        holds = G.covers_convex(plan("r"), plan("m"))
     first = lambda e: F.max(F.when(target, e))
     common = ("scene_id", "subject_id", "reference_id", "relation_before", "relation_after")
-    boundary = F.least(F.col("m_x") - F.col("m_ex") / 2 - room[0], room[2] - F.col("m_x") - F.col("m_ex") / 2, F.col("m_y") - F.col("m_ey") / 2 - room[1], room[3] - F.col("m_y") - F.col("m_ey") / 2)
+    wide, deep = half_extents("m", turned)
+    boundary = F.least(F.col("m_x") - wide - room[0], room[2] - F.col("m_x") - wide, F.col("m_y") - deep - room[1], room[3] - F.col("m_y") - deep)
     grouped = pairs.groupBy(*key, *common).agg(
         F.collect_list(F.when(F.col("hits"), F.concat(F.lit("collision:"), F.col("r_object_id").cast("string")))).alias("collisions"),
         F.max(F.when(supported, ~holds)).alias("support_invalid"),
-        F.max(~inside_rectangle("m", room)).alias("outside"), F.max(~F.col("s_movable") | F.col("s_pinned")).alias("fixed"),
+        F.max(boundary < -G.ROOM_TOLERANCE if turned else ~inside_rectangle("m", room)).alias("outside"), F.max(~F.col("s_movable") | F.col("s_pinned")).alias("fixed"),
         first(F.struct("seen_b", "seen_a")).alias("seen"), first(F.struct("fb", "fa", "rb", "ra")).alias("labels"), first(F.struct("dx_a", "dd_a", "gap_a")).alias("after"),
         first(sum(((_differs("fb", "fa", a) & (axis != a)).cast("int") for a in R.AXES), F.lit(0)) > 0).alias("collateral"),
         F.sum((~target & ((F.col("fb") != F.col("fa")) | (F.col("rb") != F.col("ra")))).cast("long")).alias("leaks"),
@@ -122,6 +163,7 @@ def verify(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float
         F.min(F.when(F.col("free") & (F.col("z_common") > G.CONTACT), F.col("gap_a"))).alias("clearance"), F.max(boundary).alias("boundary"),
         F.max("s_truncated_fraction").alias("truncated_before"), F.max("a_truncated").alias("truncated_after"),
         F.max("s_x").alias("old_x"), F.max("s_y").alias("old_y"), F.max("s_scene_size").alias("scene_size"),
+        *([F.max(F.hypot(room[2] - room[0], room[3] - room[1])).alias("diagonal"), F.max("width").alias("image_width")] if views is not None else []),
     )
     d = grouped.join(children, ["scene_id", "subject_id"], "left")
     errors = F.array_sort(F.concat(F.col("collisions"), F.array_compact(F.array(
@@ -150,7 +192,9 @@ def verify(objects: DataFrame, moves: DataFrame, room: tuple[float, float, float
 
 def score(verified: DataFrame, room: tuple[float, float, float, float], weights: dict[str, float] = WEIGHTS, width: float = 640.0) -> DataFrame:
     """Adds translation, damage, visibility, safety and total to verified candidates."""
-    diagonal = F.hypot(F.lit(room[2] - room[0]), F.lit(room[3] - room[1]))
+    own = "diagonal" in verified.columns  # of the scene's own room and image
+    diagonal = F.col("diagonal") if own else F.hypot(F.lit(room[2] - room[0]), F.lit(room[3] - room[1]))
+    width = F.col("image_width") if own else width
     moved = F.hypot(F.col("new_x") - F.col("old_x"), F.col("new_y") - F.col("old_y")) / F.greatest(diagonal, F.lit(1e-9))
     damage = F.least(F.lit(1.0), F.col("relation_damage") / F.greatest(3 * (F.col("scene_size") - 1) - 1, F.lit(1)))
     visibility = F.least(F.lit(1.0), F.abs(F.col("truncated_before") - F.col("truncated_after")) / F.greatest(F.abs("truncated_before"), F.lit(1e-6)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import domains, library, publish, roster, scenes
+from . import convex, domains, library, publish, roster, scenes
 
-MODULES = (scenes, roster, publish, domains, library)
+MODULES = (scenes, roster, publish, domains, convex, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
