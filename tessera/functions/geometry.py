@@ -16,6 +16,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def polygon(*points: tuple[float, float]) -> Column:
     return F.array(*[point(F.lit(float(x)), F.lit(float(y))) for x, y in points])
 
@@ -110,7 +115,7 @@ def point_segment_distance(p: Column, e: Column) -> Column:
 
 def gap(a: Column, b: Column) -> Column:
     """The distance of two convex polygons; 0 if they touch or overlap."""
-    near = lambda p, q: F.array_min(F.flatten(F.transform(p, lambda v: F.transform(edges(q), lambda e: point_segment_distance(v, e)))))
+    near = lambda p, q: let(edges(q), lambda sides: F.array_min(F.flatten(F.transform(p, lambda v: F.transform(sides, lambda e: point_segment_distance(v, e))))))
     return F.when(separation(a, b) <= 0, 0.0).otherwise(F.least(near(a, b), near(b, a)))
 
 

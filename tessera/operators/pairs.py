@@ -42,10 +42,15 @@ def both_visible(a: str = "s", b: str = "r") -> Column:
     return see(a) & see(b)
 
 
+def footprints(a: str, b: str) -> Column:
+    """struct(a, b): the plans of two turned boxes."""
+    return F.struct(*[G.footprint(c(p, "x"), c(p, "y"), c(p, "ex"), c(p, "ey"), c(p, "yaw")).alias(n) for n, p in (("a", a), ("b", b))])
+
+
 def ground_gap(a: str = "s", b: str = "r", turned: bool = False) -> Column:
     """The distance of the footprints; boxes along the axes need no polygons."""
     if turned:
-        return G.gap(*[G.footprint(c(p, "x"), c(p, "y"), c(p, "ex"), c(p, "ey"), c(p, "yaw")) for p in (a, b)])
+        return G.let(footprints(a, b), lambda f: G.gap(f["a"], f["b"]))
     return G.box_gap(c(a, "x") - c(b, "x"), c(a, "y") - c(b, "y"), c(a, "ex") + c(b, "ex"), c(a, "ey") + c(b, "ey"))
 
 
@@ -75,7 +80,7 @@ def z_overlap(a: str = "s", b: str = "r") -> Column:
 
 def collides(a: str = "s", b: str = "r", turned: bool = False) -> Column:
     if turned:
-        area = G.overlap_area(*[G.footprint(c(p, "x"), c(p, "y"), c(p, "ex"), c(p, "ey"), c(p, "yaw")) for p in (a, b)])
+        area = G.let(footprints(a, b), lambda f: G.overlap_area(f["a"], f["b"]))
     else:
         area = box_intersection(a, b)
     return (area > G.CONTACT) & (z_overlap(a, b) > G.CONTACT)
