@@ -62,17 +62,22 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def window_starts(text: np.ndarray, begins: np.ndarray, words: np.ndarray, apart: int = 1) -> np.ndarray:
     """Where windows start: at each word (``words``), and in long ones at each character that is ``apart`` or more bytes after the last such place."""
-    stops = np.sort(np.concatenate([np.flatnonzero(text == 32), begins[1:]]))
-    size = stops[np.searchsorted(stops, words, side="right")] - words if len(words) else words
-    long = size > LONG_WORD
+    following = np.append(words[1:], len(text))
+    some = np.flatnonzero(following - words > LONG_WORD)
+    first, end = words[some], following[some]
+    end = np.minimum(end, begins[np.minimum(np.searchsorted(begins, first, side="right"), len(begins) - 1)])
+    end = end - (text[end - 1] == 32)
+    long = end - first > LONG_WORD
     if not long.any():
         return words
-    first, steps = words[long], -(-size[long] // apart)
+    first, end = first[long], end[long]
+    steps = -(-(end - first) // apart)
     inner = np.repeat(first, steps) + apart * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
     # to the next byte that starts a character; a character has four bytes at most
     for _ in range(3):
         inner = inner + (((text[np.minimum(inner, len(text) - 1)] & 0xC0) == 0x80) & (inner < len(text)))
-    return np.unique(np.concatenate([words, inner[inner < np.repeat(first + size[long], steps)]]))
+    inner = np.unique(inner[(inner < np.repeat(end, steps)) & (inner > np.repeat(first, steps))])
+    return np.insert(words, np.searchsorted(words, inner), inner)
 
 
 def plan_for(size: int) -> tuple[int, int, tuple[int, ...]]:
