@@ -10,7 +10,7 @@ The bounds meet as slabs become thinner.
 Points (scene_id, x, y) are places of the agent, a disk of whose radius is free; a scene without points has no region.
 Points outside the room count as well. Rooms (scene_id, room_x0, room_y0, room_x1, room_y1) are rectangles along the axes.
 Objects are as in ``pairs``; without ``yaw`` boxes are not turned. A null in a place, extent or yaw leaves the row out.
-Every shuffle is by scene_id at first; the merges keep to it.
+Rooms and objects are dealt by scene_id over all tasks at first, as few rows become many; merges keep to that.
 """
 
 from __future__ import annotations
@@ -21,16 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import spread
+
 #: Metres by which every bound is moved to its safe side.
 GUARD = 1e-9
 ROOM = ("room_x0", "room_y0", "room_x1", "room_y1")
 BOUNDS = ("inner", "outer")
 
 
-def gaps(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """What the runs of a key leave between the first start and the last end."""
+def gaps(runs: DataFrame, keys: list[str], *kept: str) -> DataFrame:
+    """What the runs of a key leave between the first start and the last end; ``kept`` are columns that a key has one value of."""
     before = F.max("x1").over(Window.partitionBy(*keys).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.select(*keys, "x0", "x1", before.alias("before")).filter("x0 > before").select(*keys, F.col("before").alias("x0"), F.col("x0").alias("x1"))
+    return runs.select(*keys, *kept, "x0", "x1", before.alias("before")).filter("x0 > before").select(*keys, *kept, F.col("before").alias("x0"), F.col("x0").alias("x1"))
 
 
 def merged(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,17 +52,12 @@ def _bounds(inner: Column, outer: Column) -> Column:
     return F.explode(F.array(F.struct(F.lit("inner").alias("bound"), inner.alias("half")), F.struct(F.lit("outer").alias("bound"), outer.alias("half"))))
 
 
-def _ends(d: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
-    """A run without length at both ends of each key, so that gaps reach to them."""
-    return d.withColumn("end", F.explode(F.array(lo, hi))).select(*keys, F.col("end").alias("x0"), F.col("end").alias("x1"))
-
-
 def blocked_runs(points: DataFrame, rooms: DataFrame, radius: float, clearance: float, slab: float) -> DataFrame:
     """What the disks do not prove free, grown by the clearance: scene_id, bound, i, x0, x1 in the room and a margin of the clearance around it."""
     if not (radius > 0 and clearance >= 0 and slab > 0):
         raise ValueError("radius and slab must be positive, the clearance must not be negative")
     more = math.ceil(clearance / slab)
-    rooms = _slabs(rooms, slab, clearance)
+    rooms = spread(_slabs(rooms, slab, clearance), "scene_id")
     keys = ["scene_id", "bound", "i"]
     d = points.select("scene_id", "x", "y").dropna().join(rooms, "scene_id").withColumn("v", F.col("y") - F.col("room_y0"))
     first, last = (F.floor((F.col("v") + s * radius) / slab).cast("int") for s in (-1, 1))
@@ -73,7 +70,9 @@ def blocked_runs(points: DataFrame, rooms: DataFrame, radius: float, clearance:
     d = d.select("*", _bounds(half(farthest, -GUARD), half(nearest, GUARD)).alias("h")).select("*", "h.*").filter("half > 0")
     covered = d.select(*keys, F.greatest(F.col("x") - F.col("half"), "u0").alias("x0"), F.least(F.col("x") + F.col("half"), "u1").alias("x1")).filter("x1 > x0")
     every = rooms.withColumn("i", F.explode(F.sequence(F.lit(-more), F.col("n") - 1 + more))).withColumn("bound", F.explode(F.array(*map(F.lit, BOUNDS))))
-    blocked = gaps(covered.union(_ends(every, keys, F.col("u0"), F.col("u1"))), keys)
+    # runs without length at both ends, so that gaps reach to them
+    ends = every.withColumn("end", F.explode(F.array("u0", "u1"))).select(*keys, F.col("end").alias("x0"), F.col("end").alias("x1"))
+    blocked = gaps(spread(covered.union(ends), "scene_id"), keys)
     # the disk of the clearance reaches into the slabs around
     reach = []
     for k in range(-more, more + 1):
@@ -97,7 +96,7 @@ def _reach(v: Column) -> Column:
 def _footprints(objects: DataFrame) -> DataFrame:
     """Half extents, turn and bounds of every object; multiples of 90 degrees are exact."""
     yaw = F.pmod(F.col("yaw"), F.lit(180.0)) if "yaw" in objects.columns else F.lit(0.0)
-    d = objects.select("scene_id", F.col("object_id").alias("subject_id"), (F.col("ex") / 2).alias("a"), (F.col("ey") / 2).alias("b"), yaw.alias("yaw")).dropna()
+    d = objects.select("scene_id", F.col("object_id").alias("subject_id"), "x", "y", (F.col("ex") / 2).alias("a"), (F.col("ey") / 2).alias("b"), yaw.alias("yaw")).dropna()
     # by symmetry a turn of more than 90 degrees is one of less, the other way
     d = d.withColumn("t", F.when(F.col("yaw") > 90, F.col("yaw") - 180).otherwise(F.col("yaw")))
     d = d.withColumns({"c": F.when(F.abs("t") == 90, 0.0).otherwise(F.cos(F.radians("t"))), "s": F.when(F.col("t") == 0, 0.0).otherwise(F.sin(F.radians("t")))}).drop("yaw", "t")
@@ -114,37 +113,43 @@ def position_runs(objects: DataFrame, points: DataFrame, rooms: DataFrame, radiu
     overlap; equal rows of a point change nothing, rows of an object with one id must be one.
     """
     blocked = blocked_runs(points, rooms, radius, clearance, slab)
-    feet = _footprints(objects).join(_slabs(rooms, slab, clearance), "scene_id")
+    feet = spread(_footprints(objects).drop("x", "y"), "scene_id").join(_slabs(rooms, slab, clearance), "scene_id")
     feet = feet.withColumns({"l0": F.col("room_x0") + F.col("wide"), "l1": F.col("room_x1") - F.col("wide"), "m0": F.col("room_y0") + F.col("high"), "m1": F.col("room_y1") - F.col("high")}).filter("l0 < l1 AND m0 < m1")
+    feet = feet.withColumn("most", F.ceil(F.col("high") / slab).cast("int"))
     keys = ["scene_id", "subject_id", "bound", "i"]
-    most = F.ceil(F.col("high") / slab).cast("int")
-    d = feet.join(blocked.withColumnRenamed("i", "j"), "scene_id").withColumn("k", F.explode(F.sequence(-most, most))).withColumn("i", F.col("j") - F.col("k"))
-    d = d.filter(F.col("i").between(0, F.col("n") - 1))
+    # rows without a run stand for a slab itself and become the ends of the room
+    none = F.lit(None).cast("double")
+    every = _slabs(rooms, slab, clearance).select("scene_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), none.alias("x0"), none.alias("x1")).select("scene_id", F.explode(F.array(*map(F.lit, BOUNDS))).alias("bound"), "i", "x0", "x1")
+    d = feet.join(spread(blocked.union(every), "scene_id").withColumnRenamed("i", "j"), "scene_id")
+    end = F.col("x0").isNull()
+    d = d.withColumn("k", F.explode(F.when(end, F.array(F.lit(0), F.lit(1))).otherwise(F.sequence(-F.col("most"), F.col("most")))))
+    d = d.withColumn("i", F.when(end, F.col("j")).otherwise(F.col("j") - F.col("k"))).filter(F.col("i").between(0, F.col("n") - 1))
     in_strip = lambda k: _reach(F.greatest(F.least(F.col("top"), F.least((k + 1) * slab, F.col("high"))), F.greatest((k - 1) * slab, -F.col("high"))))
     at = lambda k: F.when(F.abs(k) * slab <= F.col("high"), _reach(k * slab))
-    inner = F.col("bound") == "inner"
-    right = F.when(inner, in_strip(F.col("k")) + GUARD).otherwise(at(F.col("k")) - GUARD)
-    left = F.when(inner, in_strip(-F.col("k")) + GUARD).otherwise(at(-F.col("k")) - GUARD)
-    d = d.select(*keys, F.greatest(F.col("x0") - right, "l0").alias("x0"), F.least(F.col("x1") + left, "l1").alias("x1"), right.alias("right")).filter("right IS NOT NULL AND x1 > x0").drop("right")
-    every = feet.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("bound", F.explode(F.array(*map(F.lit, BOUNDS))))
-    free = gaps(d.union(_ends(every, keys, F.col("l0"), F.col("l1"))), keys)
+    reach = lambda k: F.when(F.col("bound") == "inner", in_strip(k) + GUARD).otherwise(at(k) - GUARD)
+    d = d.withColumns({"right": F.col("x0") - reach(F.col("k")), "left": F.col("x1") + reach(-F.col("k"))}).filter(end | F.col("right").isNotNull())
+    point = F.when(F.col("k") == 0, F.col("l0")).otherwise(F.col("l1"))
+    d = d.select(*keys, "room_y0", "m0", "m1", F.when(end, point).otherwise(F.greatest("right", "l0")).alias("x0"), F.when(end, point).otherwise(F.least("left", "l1")).alias("x1"))
+    free = gaps(d.filter("x0 <= x1"), keys, "room_y0", "m0", "m1")
     bottom = F.col("room_y0") + F.col("i") * F.lit(slab)
-    d = free.join(feet.select("scene_id", "subject_id", "room_y0", "m0", "m1"), ["scene_id", "subject_id"])
-    return d.select(*keys, "x0", "x1", F.greatest(bottom, "m0").alias("y0"), F.least(bottom + slab, "m1").alias("y1")).filter("y0 < y1")
+    return free.select(*keys, "x0", "x1", F.greatest(bottom, "m0").alias("y0"), F.least(bottom + slab, "m1").alias("y1")).filter("y0 < y1")
 
 
 def region_summary(runs: DataFrame) -> DataFrame:
     """Per subject the area of both bounds, and the inner bound's runs and Euler number: its parts less its holes.
 
-    Runs of neighbouring slabs are in contact where they share more than a nanometre.
+    Runs of neighbouring slabs are in contact where they share more than a nanometre. Two lists of disjoint runs touch in
+    chains without circles, so two slabs have as many contacts as sorted runs of both that begin before an earlier end.
     """
     keys = ["scene_id", "subject_id"]
-    area = lambda b: F.sum(F.when(F.col("bound") == b, (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).otherwise(0.0)).alias(f"{b}_area")
-    inner = runs.filter("bound = 'inner'")
-    above = inner.select(*keys, (F.col("i") - 1).alias("i"), F.col("x0").alias("o0"), F.col("x1").alias("o1"))
-    contacts = inner.join(above, [*keys, "i"]).filter(F.least("x1", "o1") - F.greatest("x0", "o0") > GUARD).groupBy(*keys).agg(F.count("*").alias("contacts"))
-    d = runs.groupBy(*keys).agg(area("inner"), area("outer"), F.sum((F.col("bound") == "inner").cast("long")).alias("runs"))
-    return d.join(contacts, keys, "left").withColumn("euler", F.col("runs") - F.coalesce("contacts", F.lit(0))).drop("contacts")
+    inner = F.col("bound") == "inner"
+    d = runs.withColumn("down", F.explode(F.when(inner, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("pair", F.col("i") - F.col("down"))
+    before = F.max("x1").over(Window.partitionBy(*keys, "bound", "pair").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("contact", inner & (F.col("x0") < before - GUARD))
+    own = F.col("down") == 0
+    area = lambda b: F.sum(F.when(own & (F.col("bound") == b), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).otherwise(0.0)).alias(f"{b}_area")
+    d = d.groupBy(*keys).agg(area("inner"), area("outer"), F.sum((own & inner).cast("long")).alias("runs"), F.count_if(F.col("contact")).alias("contacts"))
+    return d.withColumn("euler", F.col("runs") - F.col("contacts")).drop("contacts")
 
 
 def grid_points(objects: DataFrame, rooms: DataFrame, step: float, radius: float) -> DataFrame:
@@ -154,11 +159,11 @@ def grid_points(objects: DataFrame, rooms: DataFrame, step: float, radius: float
     """
     index = lambda a: F.floor(a / step + F.lit(GUARD)).cast("long")
     # first and last point strictly within the bounds of a box grown by the radius, and not nearer to a wall than it
-    boxes = _footprints(objects).join(objects.select("scene_id", F.col("object_id").alias("subject_id"), "x", "y"), ["scene_id", "subject_id"])
+    boxes = _footprints(objects)
     within = lambda p, half: F.sequence(index(F.col(p) - F.col(half) - radius) + 1, F.ceil((F.col(p) + F.col(half) + radius) / step - F.lit(GUARD)).cast("long") - 1)
     span = lambda lo, hi: F.sequence(F.ceil((F.col(lo) + radius) / step - F.lit(GUARD)).cast("long"), index(F.col(hi) - radius))
     cross = lambda xs, ys: F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    limits = rooms.select("scene_id", cross(span("room_x0", "room_x1"), span("room_y0", "room_y1")).alias("all"))
+    limits = spread(rooms, "scene_id").select("scene_id", cross(span("room_x0", "room_x1"), span("room_y0", "room_y1")).alias("all"))
     taken = boxes.select("scene_id", F.explode(cross(within("x", "wide"), within("y", "high"))).alias("p")).groupBy("scene_id").agg(F.collect_set("p").alias("taken"))
     d = limits.join(taken, "scene_id", "left").withColumn("p", F.explode(F.when(F.col("taken").isNull(), F.col("all")).otherwise(F.array_except("all", "taken"))))
     return d.select("scene_id", (F.col("p.i") * F.lit(step)).alias("x"), (F.col("p.j") * F.lit(step)).alias("y"))

@@ -10,7 +10,7 @@ from tessera.sources.fixture import ROOM
 
 from .convex import TURNED, turned_objects
 
-STEP, RADIUS, CLEARANCE, SLAB = 0.5, 0.4, 0.05, 0.125
+STEP, RADIUS, CLEARANCE, SLAB = 0.5, 0.4, 0.05, 0.25
 
 
 def _rooms(objects: DataFrame) -> DataFrame:
