@@ -314,28 +314,28 @@ def _searcher(sent, text_col: str, drop_text: bool) -> Callable:
             before = batch.column(batch.num_columns - 1).to_pylist()
             now = [sorted([*(b or []), *({"item": index.ids[k], "distance": d} for k, d in h.items())], key=lambda x: (x["item"] is None, x["item"] or 0, x["distance"])) for b, h in zip(before, hits, strict=True)]
             kept = [k for k, n in enumerate(batch.schema.names[:-1]) if not (drop_text and n == text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(now, _HIT)], names=[*(batch.schema.names[k] for k in kept), HITS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(now, _HIT)], names=[batch.schema.names[k] for k in (*kept, -1)])
 
     return run
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``__hits`` added: the items that the whole text holds, with their edit distances, by item.
+def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_col: str = "text", block: int = BLOCK, out_col: str = HITS) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``out_col`` added: the items that the whole text holds, with their edit distances, by item.
 
     Null and empty texts hold nothing; null or blank items are held by none; items that repeat are all told. Rows are
     independent and nothing is shuffled; an empty table gives no rows, and without items no row has hits. Columns of
-    any name but ``__hits`` may be kept. The items are a query set: the driver reads them in blocks of ``block``, each
+    any name but ``out_col`` may be kept. The items are a query set: the driver reads them in blocks of ``block``, each
     of which goes over all documents before the next is read, so what is held and broadcast at once is bounded
     whatever the number of items.
     """
     spark = docs.sparkSession
     small_batches(spark)
     columns = [*keep, *([] if text_col in keep else [text_col])]
-    df = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.array().cast("array<struct<item:bigint,distance:bigint>>").alias(HITS))
+    df = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.array().cast("array<struct<item:bigint,distance:bigint>>").alias(out_col))
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator()
     part, n = [(r.i, r.t) for _, r in zip(range(block), items, strict=False)], 0
     if not part:
-        return df.select(*[F.col(f"`{c}`") for c in keep], HITS)
+        return df.select(*[F.col(f"`{c}`") for c in keep], out_col)
     while part:
         index, part = build_index(part), [(r.i, r.t) for _, r in zip(range(block), items, strict=False)]
         drop = not part and text_col not in keep
@@ -345,7 +345,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
             found = cut(found, "decontamination-block")
             discard(df)
         df = found
-    return df.select(*[F.col(f"`{c}`") for c in keep], HITS)
+    return df.select(*[F.col(f"`{c}`") for c in keep], out_col)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, bytes_of, cut, discard, mix, pieces, small_batches, word_bounds
+from .common import LOWER_BYTES, bytes_of, cut, discard, free_name, mix, pieces, small_batches, word_bounds
 from .components import connected_components
 
 PIECE = 1 << 20
@@ -406,14 +406,14 @@ class JaccardJoin:
         )
 
     def one_of_each(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The rows of ``docs`` (those that were joined) without all but the first of each component: the one with the least id, then text hash; of rows that repeat both, one. Empty sets are components of their own."""
-        key = {"__id": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), "__text_key": self._text_key(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))}
-        rows = self.result().select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"), F.col("text_key").alias("__text_key"), "first", "n_shingles")
-        rows = cut(rows.groupBy("__id", "__text_key").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.max("n_shingles").alias("size")).filter("NOT first OR (n > 1 AND size > 0)"), "jaccard-gone")
-        gone, again = rows.filter("NOT first").select("__id", "__text_key"), rows.filter("first").select("__id", "__text_key")
+        """The rows of ``docs`` (those that were joined) without all but the first of each component: the one with the least id, then text hash; of rows that repeat both, one. Empty sets are components of their own. Columns of any name stay."""
+        keys = [free_name(n, docs.columns) for n in ("__id", "__text_key")]
+        key = dict(zip(keys, (F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), self._text_key(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))), strict=True))
+        rows = self.result().select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(keys[0]), F.col("text_key").alias(keys[1]), "first", "n_shingles")
+        rows = cut(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("first").alias("first"), F.max("n_shingles").alias("size")).filter("NOT first OR (n > 1 AND size > 0)"), "jaccard-gone")
+        gone, again = rows.filter("NOT first").select(*keys), rows.filter("first").select(*keys)
         small = rows.count() <= BROADCAST_IDS
         side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-        keys = list(key)
         left = docs.withColumns(key).join(side(gone), keys, "left_anti")
         if again.limit(1).count():
             left = left.join(side(again), keys, "left_anti").unionByName(left.join(side(again), keys, "left_semi").dropDuplicates(keys))

@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, mixing, sharding, toxicity
-from .common import cut, discard
+from .common import cut, discard, free_name
 from .ngram_join import JaccardJoin
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = "__score"
-    while score in docs.columns:
-        score = f"_{score}"
+    score = free_name("__score", docs.columns)
     return toxicity.score_documents(docs, model, out_col=score).filter(F.col(score) < 0.5).drop(score)
 
 
@@ -32,8 +30,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    found = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.filter(F.size(decontamination.HITS) == 0).drop(decontamination.HITS)
+    hits = free_name("__hits", docs.columns)
+    found = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns), out_col=hits)
+    return found.filter(F.size(hits) == 0).drop(hits)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, decontamination, exact_dedup, html_text, mixing, ngram_join, queries, secrets, sharding, suffix_array, suffix_dedup, toxicity, url_filter
+from tessera.llm import components, decontamination, exact_dedup, html_text, mixing, ngram_join, pipeline, queries, secrets, sharding, suffix_array, suffix_dedup, toxicity, url_filter
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -212,6 +212,19 @@ def test_mixed_documents_keep_columns_that_clash(spark):
     assert {tuple(x) for x in out.collect()} <= set(rows)
 
 
+def test_stages_keep_columns_that_clash(spark, tmp_path):
+    names = ["doc_id", "text", "__id", "__text_key", "__hits", "__score", "first", "n_shingles", "id", "n"]
+    copy, item = prose(60), prose(80)
+    texts = [copy, copy, item, *[f"{prose(30 + k)} tail{k}" for k in range(5)]]
+    rows = [(k, t, *[f"{n}{k}" for n in names[2:]]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, names)
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = pipeline.without_near_copies(spark, docs, str(tmp_path))
+    assert left.columns == names and rows[0] in set(map(tuple, left.collect())) and rows[1] not in set(map(tuple, left.collect()))
+    left = pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert left.columns == names and sorted(map(tuple, left.collect())) == sorted(r for r in rows if item not in r[1])
+
+
 def test_targets_are_capped_and_shared():
     t = mixing.share_targets({"sa": 10, "sb": 1000, "sc": 1000, "n": 0})
     assert t["sa"] == 30 and t["n"] == 0 and abs(sum(t.values()) - 2010) < 1e-9 and all(t[k] <= 3 * v for k, v in {"sb": 1000, "sc": 1000}.items())
