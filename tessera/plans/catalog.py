@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import convex, domains, library, navigation, publish, roster, scenes
+from . import bounds, convex, domains, library, navigation, publish, roster, scenes
 
-MODULES = (scenes, roster, publish, domains, convex, navigation, library)
+MODULES = (scenes, roster, publish, domains, bounds, convex, navigation, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
