@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,14 @@ def support_edges(objects: DataFrame) -> DataFrame:
     return objects.filter("support_id IS NOT NULL").select("scene_id", F.col("object_id").alias("child"), F.col("support_id").alias("parent"))
 
 
+def ancestors(edges: Column, child: Column) -> Column:
+    """What holds a child up, directly or not, by its scene's array of struct(child, parent); a member of a cycle is among its own ancestors. As ``support_closure``, for one object."""
+    above = lambda x: F.transform(F.filter(edges, lambda e: e["child"] == x), lambda e: e["parent"])
+    follow = lambda found, _: F.array_union(found, F.flatten(F.transform(found, above)))
+    first = F.array_distinct(above(child))
+    return F.when(F.exists(edges, lambda e: e["child"] == child), F.aggregate(F.sequence(F.lit(1), F.size(edges)), first, follow)).otherwise(first)
+
+
 def cyclic_objects(objects: DataFrame) -> DataFrame:
     """Objects that hold themselves up: (scene_id, object_id)."""
     return support_closure(support_edges(objects)).filter("child = ancestor").select("scene_id", F.col("child").alias("object_id"))
@@ -40,10 +50,15 @@ def without_cyclic_support(objects: DataFrame) -> DataFrame:
 
 def object_inventory(objects: DataFrame) -> DataFrame:
     """A row an object: support_kind, subject_state, reference_eligible, reason."""
-    children = objects.filter("support_id IS NOT NULL").select("scene_id", F.col("support_id").alias("object_id")).distinct().withColumn("has_child", F.lit(True))
-    cyclic = cyclic_objects(objects).withColumn("cyclic", F.lit(True))
+    # a scene's edges go along with each of its objects, so that nothing is joined and nothing leaves its scene
+    scene = Window.partitionBy("scene_id")
+    edge = F.struct(F.col("object_id").alias("child"), F.col("support_id").alias("parent"))
     alone = F.count("*").over(Window.partitionBy("scene_id", "category")) == 1
-    d = objects.withColumn("unique_category", alone).join(children, ["scene_id", "object_id"], "left").join(cyclic, ["scene_id", "object_id"], "left")
+    d = objects.withColumn("edges", F.collect_list(F.when(F.col("support_id").isNotNull(), edge)).over(scene)).withColumn("unique_category", alone)
+    d = d.withColumn("ancestors", ancestors(F.col("edges"), F.col("object_id")))
+    # a scene without a number is no scene, and its objects hold none of each other
+    known = F.col("scene_id").isNotNull()
+    d = d.withColumns({"has_child": known & F.exists("edges", lambda e: e["parent"] == F.col("object_id")), "cyclic": known & F.array_contains("ancestors", F.col("object_id"))})
     d = d.withColumn("support_kind", first_true((F.col("cyclic"), "CYCLIC"), (F.col("support_id").isNull(), "FLOOR"), otherwise="RECEPTACLE"))
     state = first_true(
         (~F.col("movable"), "REJECTED_NOT_MOVABLE"), (F.col("pinned"), "REJECTED_PINNED"), (F.col("has_child"), "REJECTED_HAS_DEPENDENT_CHILD"),
@@ -52,16 +67,15 @@ def object_inventory(objects: DataFrame) -> DataFrame:
     reason = F.element_at(F.create_map(*[F.lit(x) for kv in {"REJECTED_NOT_MOVABLE": "object:not_movable", "REJECTED_PINNED": "object:pinned", "REJECTED_HAS_DEPENDENT_CHILD": "object:has_dependent_child", "REJECTED_UNKNOWN_SUPPORT": "object:support_cyclic"}.items() for x in kv]), F.col("subject_state"))
     view = R.is_visible(F.col("visible_fraction"), F.col("image_area_fraction"), F.col("truncated_fraction"))
     d = d.withColumn("subject_state", state).withColumn("reason", reason)
-    return d.withColumns({"qualifying_view": view, "reference_eligible": F.col("unique_category") & (F.least("ex", "ey", "ez") > 0)}).drop("has_child", "cyclic")
+    return d.withColumns({"qualifying_view": view, "reference_eligible": F.col("unique_category") & (F.least("ex", "ey", "ez") > 0)}).drop("has_child", "cyclic", "edges")
 
 
 def candidate_inventory(objects: DataFrame) -> DataFrame:
     """A row a (subject, reference, relation): state and reason. ``PENDING`` ones await selection."""
     inventory = object_inventory(objects)
-    names = ("category", "x", "y", "ex", "ey", "cx", "depth", "visible_fraction", "image_area_fraction", "truncated_fraction", "subject_state", "reference_eligible", "unique_category", "support_id", "support_kind", "split")
+    names = ("category", "x", "y", "ex", "ey", "cx", "depth", "visible_fraction", "image_area_fraction", "truncated_fraction", "subject_state", "reference_eligible", "unique_category", "support_id", "support_kind", "split", "ancestors")
     pairs = with_relations(ordered_pairs(inventory, names))
-    depends = support_closure(support_edges(objects)).select("scene_id", F.col("child").alias("s_object_id"), F.col("ancestor").alias("r_object_id")).withColumn("depends", F.lit(True))
-    pairs = pairs.join(depends, ["scene_id", "s_object_id", "r_object_id"], "left")
+    pairs = pairs.withColumn("depends", F.array_contains("s_ancestors", F.col("r_object_id"))).drop("s_ancestors", "r_ancestors")
     d = pairs.withColumn("relation", F.explode(F.array(*[F.lit(r) for r in R.RELATIONS])))
     axis = R.lookup(R.AXIS, F.col("relation"))
     dead = F.when(axis == "horizontal", F.abs("dx") < 32.0 - R.TOLERANCE).when(axis == "depth", F.abs("dd") < R.DEPTH_M - R.TOLERANCE).otherwise((F.col("gap") > R.NEAR_M) & (F.col("gap") < R.FAR_M))
@@ -143,15 +157,29 @@ def cap_prefix(sources: DataFrame, cap: int) -> DataFrame:
     return sources.join(ok, "shard").withColumn("accepted", F.array_contains("ok", F.col("source_index"))).drop("ok")
 
 
-def rejections(objects: DataFrame) -> DataFrame:
-    """All that was turned down, by stage: object_subject, object_reference, candidate."""
+def _rejections(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     inventory, candidates = object_inventory(objects), candidate_inventory(objects)
     a = inventory.filter("subject_state LIKE 'REJECTED%'").select(F.lit("object_subject").alias("stage"), "scene_id", F.col("reason"))
     b = inventory.filter("NOT reference_eligible").select(F.lit("object_reference").alias("stage"), "scene_id", F.lit("object:reference_ineligible").alias("reason"))
     c = candidates.filter("state LIKE 'REJECTED%'").select(F.lit("candidate").alias("stage"), "scene_id", F.concat(F.lit("candidate:"), F.lower(F.substring("state", 10, 64))).alias("reason"))
-    return a.unionByName(b).unionByName(c)
+    return a, b, c
+
+
+def rejections(objects: DataFrame) -> DataFrame:
+    """All that was turned down, by stage: object_subject, object_reference, candidate."""
+    return reduce(DataFrame.unionByName, _rejections(objects))
+
+
+def rejection_counts(objects: DataFrame) -> DataFrame:
+    """How many rejections, and in how many scenes, by stage and reason. Each stage is counted by scene, where it is, before stages meet."""
+    by_scene = [d.groupBy("scene_id", "stage", "reason").agg(F.count("*").alias("here")) for d in _rejections(objects)]
+    return reduce(DataFrame.unionByName, by_scene).groupBy("stage", "reason").agg(F.sum("here").alias("n"), F.count("scene_id").alias("scenes"))
 
 
 def summary(candidates: DataFrame) -> DataFrame:
-    """Counts by state, by relation and in all, in one pass."""
-    return candidates.groupingSets([["state"], ["relation"], []], "state", "relation").agg(F.count("*").alias("candidates"), F.count_distinct("scene_id").alias("scenes"))
+    """Counts by state, by relation and in all: by scene first, where its candidates are, so that no scene is counted twice and none has to be told apart later."""
+    scene = candidates.groupBy("scene_id", "state", "relation").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    sets = F.array(*[F.struct(a.alias("a"), b.alias("b"), F.lit(g).alias("g")) for g, (a, b) in enumerate(((F.col("state"), none), (none, F.col("relation")), (none, none)))])
+    scene = scene.withColumn("s", F.explode(sets)).groupBy("scene_id", F.col("s.a").alias("state"), F.col("s.b").alias("relation"), F.col("s.g").alias("g")).agg(F.sum("n").alias("n"))
+    return scene.groupBy("state", "relation", "g").agg(F.sum("n").alias("candidates"), F.count("scene_id").alias("scenes")).drop("g")

@@ -53,7 +53,7 @@ def roster_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rejections_by_stage(spark: SparkSession, sf: str) -> DataFrame:
-    return T.rejections(scene_objects(spark, sf)).groupBy("stage", "reason").agg(F.count("*").alias("n"), F.count_distinct("scene_id").alias("scenes"))
+    return T.rejection_counts(scene_objects(spark, sf))
 
 
 def _ordered(spark: SparkSession, sf: str) -> DataFrame:
