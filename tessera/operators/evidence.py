@@ -13,6 +13,8 @@ from .pairs import side
 RADIUS = 2.0
 DIRECTIONS = ((0, -1), (1, 0), (0, 1), (-1, 0))
 GRID_SIDE = 21
+#: Bits of a long that say which points a block has.
+WORD = 63
 
 
 def reachable_positions(objects: DataFrame) -> DataFrame:
@@ -78,11 +80,15 @@ def native_grid(objects: DataFrame) -> DataFrame:
 def patches(points: DataFrame) -> DataFrame:
     """Bounds of every block of points; a scene with an incomplete block has no patch at all."""
     n = GRID_SIDE * GRID_SIDE
-    blocks = points.groupBy("scene_id", F.floor(F.col("position") / n).cast("long").alias("patch_index")).agg(
-        F.min("px").alias("x_min"), F.max("px").alias("x_max"), F.min("pz").alias("z_min"), F.max("pz").alias("z_max"), (F.count_distinct("position") == n).alias("whole")
-    )
-    broken = blocks.filter("NOT whole").select("scene_id").distinct()
-    return blocks.join(broken, "scene_id", "left_anti").drop("whole")
+    # a position of a block is a bit of a few numbers, so that a point is added to its block at once and never kept
+    index, bit = F.floor(F.col("position") / n).cast("long"), F.pmod("position", F.lit(n))
+    words = range(-(-n // WORD))
+    had = [F.bit_or(F.when((bit >= w * WORD) & (bit < (w + 1) * WORD), F.call_function("shiftleft", F.lit(1).cast("long"), (bit - w * WORD).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words]
+    blocks = points.groupBy("scene_id", index.alias("patch_index")).agg(F.min("px").alias("x_min"), F.max("px").alias("x_max"), F.min("pz").alias("z_min"), F.max("pz").alias("z_max"), *had)
+    # positions without a number count for no block
+    whole = F.coalesce(sum((F.bit_count(f"w{w}") for w in words), F.lit(0)), F.lit(0)) == n
+    blocks = blocks.withColumn("whole", F.min(whole).over(Window.partitionBy("scene_id"))).filter("whole OR scene_id IS NULL")
+    return blocks.drop("whole", *[f"w{w}" for w in words])
 
 
 def target_reachability(candidates: DataFrame, positions: DataFrame, focal: float = 320.0, camera_x: float = 4.0, camera_y: float = -2.0) -> DataFrame:
