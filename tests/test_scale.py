@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bounds as B
+from tessera.functions import geometry as G
 from tessera.operators import evidence as E
 from tessera.operators import navigation as N
 from tessera.operators import pairs as P
@@ -94,3 +94,10 @@ def test_grid_points_of_a_wide_room_against_every_point(spark):
     free = lambda x, y: all(abs(x - b[2]) >= b[4] / 2 + 0.4 or abs(y - b[3]) >= b[5] / 2 + 0.4 for b in boxes)
     assert got == {(i / 2, j / 2) for i in range(-39, 6) for j in range(-1, 80) if free(i / 2, j / 2)}
     assert "collect_set" not in N.grid_points(d, room, 0.5, 0.4)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_geometry_works_out_its_polygons_once(spark):
+    a, b = F.col("first_polygon"), F.col("second_polygon")
+    once = {"area": G.signed_area(a), "ring": G.canonical_ring(a), "bounds": G.bounds(a), "hausdorff": G.hausdorff(a, b), "gap": G.gap(a, b), "separation": G.separation(a, b), "overlap": G.overlap_area(a, b)}
+    named = {n: [e._jc.toString().count(p) for p in ("first_polygon", "second_polygon")] for n, e in once.items()}
+    assert all(k <= 1 for found in named.values() for k in found), named
