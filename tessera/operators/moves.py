@@ -34,7 +34,9 @@ def satisfied_requests(objects: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
     names = tuple(dict.fromkeys(("object_id", "x", "y", "ex", "ey", "cx", "depth", "visible_fraction", "image_area_fraction", "truncated_fraction", "movable", "pinned", *(("yaw",) if turned else ()), *keep)))
     movers = each(scenes(objects, names), "s", names, F.col("o.movable") & ~F.col("o.pinned") & ~F.array_contains("held", F.col("o.object_id")))
     pairs = with_relations(each(movers, "r", names, F.col("o.object_id") != F.col("s_object_id")), turned)
-    d = pairs.select("scene_id", F.col("s_object_id").alias("subject_id"), F.col("r_object_id").alias("reference_id"), F.explode("labels").alias("relation_before"), *[F.col(f"{p}_{n}") for p in "sr" for n in keep])
+    # not by the column ``labels``: Spark would filter pairs by its size first and so work everything out twice, in code too large to be compiled
+    found = R.labels(F.col("seen"), F.col("dx"), F.col("dd"), F.col("gap"))
+    d = pairs.select("scene_id", F.col("s_object_id").alias("subject_id"), F.col("r_object_id").alias("reference_id"), F.explode(found).alias("relation_before"), *[F.col(f"{p}_{n}") for p in "sr" for n in keep])
     return d.select(*d.columns[:4], R.lookup(R.OPPOSITE, F.col("relation_before")).alias("relation_after"), *d.columns[4:])
 
 
