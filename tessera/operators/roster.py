@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import relations as R
 
+from .lineage import checkpointed
 from .pairs import ordered_pairs, support_closure, with_relations
 
 SEED = 20260723
@@ -53,8 +54,9 @@ def object_inventory(objects: DataFrame) -> DataFrame:
     # a scene's edges go along with each of its objects, so that nothing is joined and nothing leaves its scene
     scene = Window.partitionBy("scene_id")
     edge = F.struct(F.col("object_id").alias("child"), F.col("support_id").alias("parent"))
-    alone = F.count("*").over(Window.partitionBy("scene_id", "category")) == 1
-    d = objects.withColumn("edges", F.collect_list(F.when(F.col("support_id").isNotNull(), edge)).over(scene)).withColumn("unique_category", alone)
+    d = objects.withColumns({"edges": F.collect_list(F.when(F.col("support_id").isNotNull(), edge)).over(scene), "categories": F.collect_list(F.struct("category")).over(scene)})
+    # and so do its categories: a window of each category would sort all objects once more
+    d = d.withColumn("unique_category", F.size(F.filter("categories", lambda e: e["category"].eqNullSafe(F.col("category")))) == 1).drop("categories")
     d = d.withColumn("ancestors", ancestors(F.col("edges"), F.col("object_id")))
     # a scene without a number is no scene, and its objects hold none of each other
     known = F.col("scene_id").isNotNull()
@@ -115,6 +117,8 @@ def _select(quotas: dict[str, int]):
 
 
 VISIT = ["relation", "round", "group_digest", "digest"]
+#: Candidates of a relation that selection visits at first; Spark takes so many of each task before they are shuffled.
+LOOK = 1000
 
 
 def within_reach(ordered: DataFrame, quotas: dict[str, int]) -> DataFrame:
@@ -139,14 +143,31 @@ def within_reach(ordered: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return ordered
 
 
+def _settled(first: DataFrame, chosen: DataFrame, quotas: dict[str, int]) -> bool:
+    """Whether the candidates after the ``first`` of each relation are sure to be turned down: none are left, or the relation's quota is met, or with those before it the one in all."""
+    taken = {r.relation: r.n for r in chosen.groupBy("relation").agg(F.count("*").alias("n")).collect()}
+    before = 0
+    for relation, n in sorted((r.relation, r.n) for r in first.groupBy("relation").agg(F.count("*").alias("n")).collect()):
+        before += taken.get(relation, 0)
+        if n >= LOOK and taken.get(relation, 0) < quotas["relation"] and before < quotas["total"]:
+            return False
+    return True
+
+
 def select_with_quotas(candidates: DataFrame, quotas: dict[str, int] = QUOTAS, seed: int = SEED) -> DataFrame:
     """Round-robin selection: relations in the order of their names, one of each group in a round, each taken if no quota is met.
 
-    What is taken depends on all that was taken before; the candidates within reach, whose number depends on the quotas
-    alone, are visited in one task. A row each that is taken, with its selection_index.
+    What is taken depends on all that was taken before, so candidates are visited in one task: the first ``LOOK`` of each
+    relation, of which each task sends no more than that. A quota that is met stays met; where those do not meet their
+    relation's, all candidates within reach are visited, whose number depends on the quotas alone. A row each that is
+    taken, with its selection_index.
     """
     ordered = seeded_order(candidates, seed).select(*VISIT, "scene_id", "s_object_id", "r_object_id", "s_category", "r_category")
-    return within_reach(ordered, quotas).groupBy().applyInPandas(_select(quotas), "selection_index long, relation string, scene_id long, s_object_id long, r_object_id long, s_category string, r_category string")
+    schema = "selection_index long, relation string, scene_id long, s_object_id long, r_object_id long, s_category string, r_category string"
+    rank = F.row_number().over(Window.partitionBy("relation").orderBy(*VISIT[1:]))
+    first = checkpointed(ordered.withColumn("_rank", rank).filter(F.col("_rank") <= LOOK).drop("_rank"))
+    chosen = checkpointed(first.groupBy().applyInPandas(_select(quotas), schema))
+    return chosen if _settled(first, chosen, quotas) else within_reach(ordered, quotas).groupBy().applyInPandas(_select(quotas), schema)
 
 
 def cap_prefix(sources: DataFrame, cap: int) -> DataFrame:
