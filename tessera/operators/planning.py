@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import geometry as G
 from tessera.functions import relations as R
 
+from .lineage import spread
 from .pairs import c, ordered_pairs, side, z_overlap
 from .roster import candidate_key
 
@@ -17,29 +18,42 @@ STRESS_SEEDS, STRESS_DIRECTIONS, STRESS_SLOTS, STRESS_SAT = (2026080200, 2026080
 STRESS_TRANSFORMED = {"SAT": 18, "UNSAT": 12}
 
 
-def _with_slot(ordered: DataFrame) -> DataFrame:
-    """The n-th request of each relation goes to slot n. The rank is over a relation's requests, of which selection leaves few; all candidates are ranked by blocks of a round."""
-    # a relation's rounds are counted first, so that no window has to hold a whole relation
-    sizes = ordered.groupBy("relation", "round").agg(F.count("*").alias("here"))
-    before = F.sum("here").over(Window.partitionBy("relation").orderBy("round")) - F.col("here")
-    block = F.substring("digest", 1, 3)
-    blocks = ordered.groupBy("relation", "round", block.alias("block")).agg(F.count("*").alias("in_block"))
-    blocks = blocks.withColumn("block_before", F.sum("in_block").over(Window.partitionBy("relation", "round").orderBy("block")) - F.col("in_block"))
-    d = ordered.withColumn("block", block).join(sizes.withColumn("before", before).drop("here"), ["relation", "round"]).join(blocks.drop("in_block"), ["relation", "round", "block"])
-    rank = F.row_number().over(Window.partitionBy("relation", "round", "block").orderBy("digest"))
-    return d.withColumn("slot_index", F.col("before") + F.col("block_before") + rank - 1)
+def _with_slot(ordered: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
+    """relation, ``ids`` and slot_index of each request: the n-th of each relation goes to slot n.
+
+    Requests are shuffled once, narrow, to the block of their relation, round and digest, and ranked and counted there. What
+    is before a block follows from a row a block, made of the same shuffle; no window has to hold a whole relation.
+    """
+    key = ["relation", "round", "block"]
+    # the bytes of the digest have the order of its digits and half their size
+    d = ordered.select("relation", "round", F.substring("digest", 1, 3).alias("block"), F.unhex("digest").alias("at"), *ids)
+    # as the joins below ask for, and said here so that all readings of the shuffle are alike
+    d = d.filter("relation IS NOT NULL AND round IS NOT NULL AND block IS NOT NULL")
+    block = Window.partitionBy(*key)
+    # in the order of the ids too, so that both readings of the shuffle need the same columns of it
+    d = d.withColumn("rank", F.row_number().over(block.orderBy("at", *ids)))
+    last = F.row_number().over(block.orderBy(F.col("rank").desc())) == 1
+    blocks = d.withColumn("last", last).filter("last").select(*key, F.col("rank").cast("long").alias("here"))
+    sizes = blocks.groupBy("relation", "round").agg(F.sum("here").alias("size"))
+    sizes = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("relation").orderBy("round")) - F.col("size")).drop("size")
+    within = F.sum("here").over(Window.partitionBy("relation", "round").orderBy("block")) - F.col("here")
+    before = blocks.withColumn("within", within).join(sizes, ["relation", "round"]).select(*key, (F.col("before") + F.col("within")).alias("before"))
+    return d.join(before, key).select("relation", *ids, (F.col("before") + F.col("rank") - 1).alias("slot_index"))
 
 
 def slots(ordered: DataFrame) -> DataFrame:
     """A row a slot: its relations, whether it has all six, and what it lacks."""
-    d = _with_slot(ordered).groupBy("slot_index").agg(F.array_sort(F.collect_set("relation")).alias("r"))
-    every = F.array(*[F.lit(r) for r in R.RELATIONS])
-    return d.select("slot_index", F.array_join("r", ",").alias("relations"), F.when(F.size("r") == len(R.RELATIONS), "ready").otherwise("incomplete").alias("status"), F.array_join(F.array_except(every, "r"), ",").alias("missing"))
+    bit = R.lookup({r: R.bits(r) for r in R.RELATIONS}, F.col("relation"))
+    # a slot has six rows at most, of as many tasks: nothing is gained by adding up before they meet
+    d = spread(_with_slot(ordered).select("slot_index", bit.alias("bit")), "slot_index").groupBy("slot_index").agg(F.bit_or("bit").alias("r"))
+    every = R.bits(*R.RELATIONS)
+    names = lambda m: F.array_join(R.named(m), ",")
+    return d.select("slot_index", names(F.col("r")).alias("relations"), F.when(F.col("r") == every, "ready").otherwise("incomplete").alias("status"), names(F.lit(every).bitwiseXOR(F.col("r"))).alias("missing"))
 
 
 def batches(ordered: DataFrame) -> DataFrame:
     """A slot's requests, at most one a relation, in order of their key; the batch's id is their digest. Incomplete slots form batches too."""
-    d = _with_slot(ordered).groupBy("slot_index").agg(F.array_sort(F.collect_list(candidate_key())).alias("requests"))
+    d = spread(_with_slot(ordered, ("scene_id", "s_object_id", "r_object_id")), "slot_index").groupBy("slot_index").agg(F.array_sort(F.collect_list(candidate_key())).alias("requests"))
     return d.select("slot_index", F.size("requests").cast("long").alias("size"), F.concat(F.lit("batch-"), F.sha2(F.array_join("requests", ",").cast("binary"), 256)).alias("batch_id"), "requests")
 
 
