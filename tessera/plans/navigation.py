@@ -35,8 +35,8 @@ def navigation_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Per movable object the area of its region from both sides, and the inner bound's runs and Euler number."""
     d = _objects(spark, sf)
     rooms = _rooms(d)
-    runs = N.position_runs(d.filter("movable AND NOT pinned"), N.grid_points(d, rooms, STEP, RADIUS), rooms, RADIUS, CLEARANCE, SLAB)
-    return N.region_summary(runs).select("scene_id", "subject_id", F.round("inner_area", 5).alias("inner_area"), F.round("outer_area", 5).alias("outer_area"), "euler")
+    found = N.region_areas(d.filter("movable AND NOT pinned"), N.grid_points(d, rooms, STEP, RADIUS), rooms, RADIUS, CLEARANCE, SLAB)
+    return found.select("scene_id", "subject_id", F.round("inner_area", 5).alias("inner_area"), F.round("outer_area", 5).alias("outer_area"), "euler")
 
 
 _POINTS = f"""{TURNED},
