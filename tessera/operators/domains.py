@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import relations as R
 
+from .lineage import spread
 from .pairs import c, side, z_overlap
 
 REGION = "array<struct<x0:double,x1:double,y0:double,y1:double>>"
@@ -159,3 +160,13 @@ def replay_mismatches(stored: DataFrame, again: DataFrame, key: str = "request_i
     names = sorted(x for x in stored.columns if x != key)
     told = lambda d, n: d.select(key, F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary"), 256).alias(n))
     return told(stored, "stored").join(told(again, "again"), key, "full_outer").filter(~F.col("stored").eqNullSafe(F.col("again")))
+
+
+def replay_counts(stored: DataFrame, again: DataFrame, key: str = "request_id") -> DataFrame:
+    """One row: how many results are stored (``requests``), and how many requests have results that are not those found again (``mismatches``). Both are counted in one reading of each table; a request's results are compared whatever their order."""
+    names = sorted(x for x in stored.columns if x != key)
+    digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    told = lambda d, n: spread(d.select(key, digest.alias(n)), key).groupBy(key).agg(F.sort_array(F.collect_list(n)).alias(n))
+    both = told(stored, "stored").join(told(again, "again"), key, "full_outer")
+    many = F.when(F.col("stored").isNotNull(), F.size("stored"))
+    return both.agg(F.coalesce(F.sum(many), F.lit(0).cast("long")).alias("requests"), F.count_if(~F.col("stored").eqNullSafe(F.col("again"))).alias("mismatches"))

@@ -27,8 +27,7 @@ def certified_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 def replayed(spark: SparkSession, sf: str) -> DataFrame:
     """Results found twice: how many requests there are, and how many differ."""
-    a, b = certified_moves(spark, sf), certified_moves(spark, sf)
-    return a.agg(F.count("*").alias("requests")).join(X.replay_mismatches(a, b).agg(F.count("*").alias("mismatches")))
+    return X.replay_counts(certified_moves(spark, sf), certified_moves(spark, sf))
 
 
 def camera_rebase(spark: SparkSession, sf: str) -> DataFrame:
