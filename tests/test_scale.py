@@ -196,3 +196,9 @@ def test_replays_are_counted_in_one_reading(unbroadcast):
     assert tuple(domains.X.replay_counts(d.limit(0), d.limit(0)).first()) == (0, 0)
     plan = domains.replayed(unbroadcast, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_least_costs_are_looked_for_in_their_subjects_row(unbroadcast):
+    # no round of jobs a level, and no cell is shuffled: three for the objects, twice, and subjects are dealt once
+    plan = bounds.bounded_costs(unbroadcast, SF)
+    assert shuffles(plan) <= 8 and "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
