@@ -202,3 +202,9 @@ def test_least_costs_are_looked_for_in_their_subjects_row(unbroadcast):
     # no round of jobs a level, and no cell is shuffled: three for the objects, twice, and subjects are dealt once
     plan = bounds.bounded_costs(unbroadcast, SF)
     assert shuffles(plan) <= 8 and "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_certificates_are_replayed_where_their_scene_is(unbroadcast):
+    # certificates are dealt by scene, once, and what is tried of them is not shuffled: three for each reading of the objects
+    plan = bounds.replayed_costs(unbroadcast, SF)
+    assert shuffles(plan) <= 12 and "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
