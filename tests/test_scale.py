@@ -10,8 +10,9 @@ from tessera.operators import moves
 from tessera.operators import navigation as N
 from tessera.operators import pairs as P
 from tessera.operators import convex as V
+from tessera.operators import search
 from tessera.plans import bounds, convex, domains, library, navigation, roster, scenes
-from tessera.sources.fixture import scene_objects
+from tessera.sources.fixture import ROOM, scene_objects
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,3 +209,10 @@ def test_certificates_are_replayed_where_their_scene_is(unbroadcast):
     # certificates are dealt by scene, once, and what is tried of them is not shuffled: three for each reading of the objects
     plan = bounds.replayed_costs(unbroadcast, SF)
     assert shuffles(plan) <= 12 and "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_are_searched_where_their_scene_is(unbroadcast):
+    d = scene_objects(unbroadcast, SF)
+    plan = search.best_points(d, moves.all_requests(d), ROOM, True, (2.0,), moves.WEIGHTS)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Exchange ")]
+    assert dealt and not any("request_id" in line for line in dealt)
