@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import navigation as N
-from tessera.operators.lineage import checkpointed, spread
 from tessera.sources.fixture import ROOM
 
 from .convex import TURNED, turned_objects
@@ -26,16 +25,9 @@ def navigation_points(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("scene_id").agg(F.count("*").alias("points"), index("x").alias("sum_i"), index("y").alias("sum_j"))
 
 
-def _objects(spark: SparkSession, sf: str) -> DataFrame:
-    """What regions need of the objects, made once, as they are read three times."""
-    return checkpointed(spread(turned_objects(spark, sf).select("scene_id", "object_id", "x", "y", "ex", "ey", "yaw", "movable", "pinned"), "scene_id"))
-
-
 def navigation_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Per movable object the area of its region from both sides, and the inner bound's runs and Euler number."""
-    d = _objects(spark, sf)
-    rooms = _rooms(d)
-    found = N.region_areas(d.filter("movable AND NOT pinned"), N.grid_points(d, rooms, STEP, RADIUS), rooms, RADIUS, CLEARANCE, SLAB)
+    found = N.scene_areas(turned_objects(spark, sf), F.expr("movable AND NOT pinned"), ROOM, STEP, RADIUS, CLEARANCE, SLAB)
     return found.select("scene_id", "subject_id", F.round("inner_area", 5).alias("inner_area"), F.round("outer_area", 5).alias("outer_area"), "euler")
 
 

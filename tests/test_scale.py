@@ -216,3 +216,20 @@ def test_requests_are_searched_where_their_scene_is(unbroadcast):
     plan = search.best_points(d, moves.all_requests(d), ROOM, True, (2.0,), moves.WEIGHTS)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Exchange ")]
     assert dealt and not any("request_id" in line for line in dealt)
+
+
+def test_agents_places_are_made_where_their_scene_is(unbroadcast):
+    # lines by part and by order, and parts; points, words of them and rooms are not shuffled
+    assert shuffles(navigation.navigation_regions(unbroadcast, SF)) == 3
+
+
+def test_areas_by_places_made_in_a_scenes_row(spark):
+    d = convex.turned_objects(spark, SF).filter("scene_id % 31 < 4")
+    # a box without a place takes no point, and a room that is no multiple of the step has none at its edge
+    d = d.withColumn("x", F.when(F.col("scene_id") % 5 != 1, F.col("x")).otherwise(F.when(F.col("object_id") != 1, F.col("x")))).localCheckpoint()
+    room = (-0.7, -1.0, 8.3, 9.2)
+    rooms = d.select("scene_id").distinct().withColumns({n: F.lit(v) for n, v in zip(N.ROOM, room)})
+    key = lambda r: (r.scene_id, r.subject_id)
+    there = sorted(N.scene_areas(d, F.expr("movable AND NOT pinned"), room, 0.5, 0.4, 0.05, 0.25).collect(), key=key)
+    plain = sorted(N.region_areas(d.filter("movable AND NOT pinned"), N.grid_points(d, rooms, 0.5, 0.4), rooms, 0.4, 0.05, 0.25).collect(), key=key)
+    assert len(there) > 100 and there == plain
